@@ -144,3 +144,59 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     root = roots(code[: len(a)], code[len(a) :], len(nodes))
     other = root != np.arange(len(nodes))
     return nodes[other], nodes[root[other]]
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans; data needs 40 bytes of slack."""
+    at8 = lanes(data)
+    with np.errstate(over="ignore"):
+        h = size.astype(U64) * P5
+        todo, pos, rest = np.arange(len(start)), start.astype(np.int64), size.astype(np.int64)
+        while todo.size:
+            lane = at8[pos]
+            short = rest < 8
+            lane = np.where(short, lane & ((U64(1) << (U64(8) * np.minimum(rest, 7).astype(U64))) - U64(1)), lane)
+            x = (h[todo] ^ lane) * P1
+            h[todo] = (x ^ (x >> U64(29))) * P2
+            more = rest > 8
+            todo, pos, rest = todo[more], pos[more] + 8, rest[more] - 8
+        return mix(h)
+
+
+def rolled(values: np.ndarray, width: int) -> np.ndarray:
+    """Polynomial hashes, modulo 2**64, of every width consecutive values."""
+    base = int(P4) | 1
+    power, size, have, done = base, 1, None, 0
+    run = values
+    with np.errstate(over="ignore"):
+        while True:
+            if width & size:
+                if have is None:
+                    have = run
+                else:
+                    n = len(run) - done
+                    have = have[: max(n, 0)] * U64(power) + run[done:]
+                done += size
+            if done == width:
+                return have[: max(len(values) - width + 1, 0)]
+            n = max(len(run) - size, 0)
+            run = run[:n] * U64(power) + run[size : size + n]
+            power = power * power % 2**64
+            size *= 2
+
+
+def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of every width consecutive values."""
+    size, run = 1, values
+    while 2 * size <= width:
+        run = np.minimum(run[:-size], run[size:])
+        size *= 2
+    over = width - size
+    return np.minimum(run[: len(run) - over], run[over:]) if over else run
+
+
+def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start[0], start[0]+1, ..., count[0] of them; then those of start[1] ..."""
+    total = int(count.sum())
+    offset = np.cumsum(count) - count
+    return np.repeat(start - offset, count) + np.arange(total)

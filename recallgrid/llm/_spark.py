@@ -3,6 +3,7 @@ cluster's shared folder, and connected components by joins."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -44,9 +45,13 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables, and has the JVM collect its garbage: Spark removes
+        the shuffle files of finished steps only after that."""
         for table in tables:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(table._scratch_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        gc.collect()
+        self.spark._jvm.System.gc()
 
 
 def binary_texts(column: pa.Array) -> list[bytes]:
@@ -81,7 +86,7 @@ def _local_forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def components(scratch: Scratch, edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Connected components of links (a, b): rows (id, root), root being the
-    smallest id of the component, for every id that has a link to another.
+    smallest id of the component, for every id that is not that root itself.
 
     Large-star and small-star rounds: each points a node's neighbours at the
     smallest of them by an aggregation with map-side combine and a join, so

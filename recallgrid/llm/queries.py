@@ -3,14 +3,19 @@ operator to its whole table."""
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from recallgrid.llm import simhash
+from recallgrid.llm import sentencepiece_codec, simhash, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+TOKENIZERS = os.environ.get("RECALLGRID_TOKENIZERS", "/opt/tokenizers")
+PIECE_MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,6 +25,34 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op1_simhash_near_dedup": op1_simhash_near_dedup}
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.remove_repeats(_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP9_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+     win AS (SELECT doc_id, t.p AS p, md5(array_to_string(w[t.p + 1 : t.p + 50], ' ')) AS k FROM w, unnest(range(0, greatest(len(w) - 49, 0))) AS t(p)),
+     firsts AS (SELECT k, min(doc_id) AS lo FROM win GROUP BY k),
+     gone AS (SELECT DISTINCT win.doc_id, win.p + o.o AS pos FROM win JOIN firsts USING (k), unnest(range(0, 50)) AS o(o) WHERE lo < win.doc_id),
+     words AS (SELECT doc_id, t.pos AS pos, w[t.pos + 1] AS word FROM w, unnest(range(0, len(w))) AS t(pos)),
+     kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS t FROM words ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
+"""
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = sentencepiece_codec.encode(_table(spark, sf_dir, "documents"), PIECE_MODEL)
+    back = sentencepiece_codec.decode(encoded, PIECE_MODEL)
+    digest = F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256)
+    return back.select("doc_id", "n_tokens", digest.alias("ids_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
+QUERIES: dict[str, Query] = {
+    "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op9_substring_dedup": op9_substring_dedup,
+    "op10_sentencepiece": op10_sentencepiece,
+}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_substring_dedup": OP9_SQL}
