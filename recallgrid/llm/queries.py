@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallgrid.llm import sentencepiece_codec, simhash, substrings
+from recallgrid.llm import licenses, line_dedup, mixing, sentencepiece_codec, simhash, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,32 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP4_SQL = r"""
+WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+     win AS (SELECT doc_id, t.p AS p, array_to_string(l[t.p + 1 : t.p + 3], chr(10)) AS k FROM l, unnest(range(0, greatest(len(l) - 2, 0))) AS t(p)),
+     numbered AS (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS n FROM win WHERE regexp_matches(k, '[^ 	-]')),
+     gone AS (SELECT DISTINCT doc_id, p + o.o AS pos FROM numbered, unnest(range(0, 3)) AS o(o) WHERE n > 1),
+     lines AS (SELECT doc_id, t.pos AS pos, l[t.pos + 1] AS line FROM l, unnest(range(0, len(l))) AS t(pos)),
+     kept AS (SELECT doc_id, count(*) AS n, string_agg(line, chr(10) ORDER BY pos) AS t FROM lines ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+SELECT l.doc_id, CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(l), 0) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       CASE WHEN text IS NOT NULL THEN sha256(coalesce(t, '')) END AS kept_sha256
+FROM l LEFT JOIN kept ON l.doc_id = kept.doc_id
+"""
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substrings.remove_repeats(_table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -51,8 +77,11 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_source_mix": op2_source_mix,
+    "op3_license_scan": op3_license_scan,
+    "op4_line_dedup": op4_line_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_substring_dedup": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op9_substring_dedup": OP9_SQL}
