@@ -27,6 +27,12 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession, at_most: str = "8m") -> None:
+    """Arrow batches of whole texts stay small enough for several Python
+    workers on an executor (a setting of the session)."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", at_most)
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage. They survive lost
     executors; drop() removes those that later steps no longer read."""
@@ -35,21 +41,26 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.made = 0
+        bounded_batches(spark)
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.made += 1
         path = f"{self.root}/t{self.made}"
         df.write.parquet(path)
+        self.release()
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        """Deletes tables, and has the JVM collect its garbage: Spark removes
-        the shuffle files of finished steps only after that."""
+        """Deletes tables that no later step reads."""
         for table in tables:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(table._scratch_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def release(self) -> None:
+        """Has the driver collect its garbage: only then does Spark remove the
+        shuffle files of steps that have ended."""
         gc.collect()
         self.spark._jvm.System.gc()
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recallgrid.llm import _arrays
-from recallgrid.llm._spark import slabs
+from recallgrid.llm._spark import bounded_batches, slabs
 
 #: Phrase and label of the base detections.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -213,6 +213,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     doc_ids are kept, other columns not read; an empty table gives no rows.
     """
 
+    bounded_batches(docs.sparkSession)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, end, texts in slabs(batch.column(1)):

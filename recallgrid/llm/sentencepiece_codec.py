@@ -28,13 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
-from recallgrid.llm._spark import Scratch
+from recallgrid.llm._spark import Scratch, bounded_batches
 
 BPE, UNIGRAM = 2, 1
 BLANK = "▁"
 GIANT_CHARS = 32_768
 CHUNK_CHARS = 16_384
-CACHE_MOST = 300_000
+CACHE_MOST = 100_000
 
 State = tuple[int, int]
 Matrix = dict[State, dict[State, float]]
@@ -352,10 +352,10 @@ def encode(docs: DataFrame, model_file: str, giant_chars: int = GIANT_CHARS, chu
     with open(model_file, "rb") as file:
         proto = file.read()
     Model(proto)  # refuses what it can't serve
+    scratch = Scratch(docs.sparkSession, "sentencepiece")
     rows = docs.select("doc_id", "text")
     big = F.length("text") > giant_chars
     whole = rows.where(F.coalesce(~big, F.lit(True))).mapInArrow(_whole(proto), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, ids array<int>")
-    scratch = Scratch(docs.sparkSession, "sentencepiece")
     giants = scratch.keep(rows.where(big).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"))
     chunks = scratch.keep(giants.select("row", "text").mapInArrow(_deal(proto, chunk_chars), CHUNKS).repartition("row", "part"))
     matrices = chunks.repartition("row", "part").mapInArrow(_transfer(proto), "row long, part int, cells array<array<double>>")
@@ -370,6 +370,7 @@ def encode(docs: DataFrame, model_file: str, giant_chars: int = GIANT_CHARS, chu
 def decode(encoded: DataFrame, model_file: str) -> DataFrame:
     """encoded, a table with a column ids, and its column decoded: the text of
     the ids; null ids give an empty text, bytes that aren't UTF-8 U+FFFD."""
+    bounded_batches(encoded.sparkSession)
     with open(model_file, "rb") as file:
         proto = file.read()
     at = encoded.columns.index("ids")
