@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallgrid.llm import licenses, line_dedup, mixing, sentencepiece_codec, simhash, substrings
+from recallgrid.llm import embedding_dedup, licenses, line_dedup, mixing, permutation_index, quality, sentencepiece_codec, simhash, substrings, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,7 +41,8 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP4_SQL = r"""
 WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
      win AS (SELECT doc_id, t.p AS p, array_to_string(l[t.p + 1 : t.p + 3], chr(10)) AS k FROM l, unnest(range(0, greatest(len(l) - 2, 0))) AS t(p)),
-     numbered AS (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS n FROM win WHERE regexp_matches(k, '[^ 	-]')),
+     numbered AS (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS n FROM win WHERE regexp_matches(k, '[^ 	-
+]')),
      gone AS (SELECT DISTINCT doc_id, p + o.o AS pos FROM numbered, unnest(range(0, 3)) AS o(o) WHERE n > 1),
      lines AS (SELECT doc_id, t.pos AS pos, l[t.pos + 1] AS line FROM l, unnest(range(0, len(l))) AS t(pos)),
      kept AS (SELECT doc_id, count(*) AS n, string_agg(line, chr(10) ORDER BY pos) AS t FROM lines ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
@@ -51,6 +52,60 @@ FROM l LEFT JOIN kept ON l.doc_id = kept.doc_id
 """
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+#: All pairs, in double precision; at most the sizes that SQL can do that for.
+OP5_SQL = r"""
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+     n AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v),
+     links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id AND list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.95),
+     reach AS (SELECT vec_id AS id, vec_id AS root FROM n UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.id),
+     roots AS (SELECT id, min(root) AS component_id FROM reach GROUP BY id),
+     degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(degree.n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN roots ON id = vec_id LEFT JOIN degree ON a = vec_id
+"""
+
+
+def op6_permutation_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op7_quality_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", "text_score", "metadata_score", "score", "keep")
+
+
+def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve_revisits(warc.capture_log(_table(spark, sf_dir, "pages")))
+    headers = F.concat_ws("; ", F.transform(F.map_entries("headers"), lambda h: F.concat(h["key"], F.lit("="), h["value"])))
+    return found.select("record_id", "canonical", "captured", "response_id", "response_captured", "status", F.when(F.col("headers").isNotNull(), headers).alias("headers"), "digest")
+
+
+OP8_SQL = r"""
+WITH b AS (SELECT page_id, trim(url) AS url, regexp_replace(trim(url), '#.*$', '') AS bare, sha256(coalesce(html, '')) AS digest, octet_length(encode(html)) AS size FROM pages),
+     c AS (SELECT *, regexp_replace(lower(regexp_extract(bare, '^(?i:https?)://(?:[^/?@]*@)?(?:(?i:www)\.)?([^/?]*)', 1)), ':(80|443)?$', '') AS host,
+                  regexp_extract(bare, '^(?i:https?)://[^/?]*(/[^?]*)', 1) AS path,
+                  list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|gclid|fbclid|sessionid)='))) AS args FROM b),
+     p AS (SELECT page_id, digest, size, '"' || substr(digest, 1, 16) || '"' AS tag, strftime(make_timestamp(((page_id * 60) // 86400) * 86400000000), '%Y-%m-%d') AS day,
+                  CASE WHEN host = '' THEN url ELSE 'http://' || host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(args) > 0 THEN '?' || array_to_string(args, '&') ELSE '' END END AS canonical FROM c),
+     responses AS (SELECT page_id * 2 AS response_id, page_id * 60 AS t, canonical, digest, size, page_id % 2 = 0 AS even, tag, day FROM p),
+     revisits AS (SELECT page_id * 2 + 1 AS record_id, page_id * 60 + 43200 AS captured, canonical, page_id, page_id % 2 = 0 AS even, CASE WHEN page_id % 7 = 0 THEN '"newer"' ELSE tag END AS tag, day FROM p),
+     hit AS (SELECT v.record_id, v.canonical, v.captured, r.response_id, r.t AS response_captured, v.page_id, r.digest, r.size,
+                    v.even AND r.even AS tags, v.tag = r.tag AS same_tag, NOT v.even AND NOT r.even AS dates, v.day = r.day AS same_day, r.even AS stored_even, r.tag AS stored_tag, r.day AS stored_day, v.even AS asks_even, v.day AS asks_day
+             FROM revisits v ASOF LEFT JOIN responses r ON v.canonical = r.canonical AND v.captured >= r.t),
+     done AS (SELECT *, CASE WHEN response_id IS NULL THEN 'missing' WHEN tags AND same_tag OR dates AND same_day THEN 'resolved' WHEN tags OR dates THEN 'changed' ELSE 'unverified' END AS status FROM hit)
+SELECT record_id, canonical, CAST(captured AS BIGINT) AS captured, response_id, CAST(response_captured AS BIGINT) AS response_captured, status,
+       CASE WHEN status = 'resolved' THEN 'age=' || (page_id % 100) || '; cache-control=max-age=600; content-length=' || size || '; content-type=text/html; '
+            || CASE WHEN stored_even THEN 'etag=' || stored_tag ELSE 'last-modified=' || asks_day END END AS headers,
+       CASE WHEN status = 'resolved' THEN digest END AS digest
+FROM done
+"""
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substrings.remove_repeats(_table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -80,8 +135,12 @@ QUERIES: dict[str, Query] = {
     "op2_source_mix": op2_source_mix,
     "op3_license_scan": op3_license_scan,
     "op4_line_dedup": op4_line_dedup,
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
+    "op6_permutation_ann": op6_permutation_ann,
+    "op7_quality_co_training": op7_quality_co_training,
+    "op8_warc_revisits": op8_warc_revisits,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op9_substring_dedup": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op5_embedding_near_dedup": OP5_SQL, "op8_warc_revisits": OP8_SQL, "op9_substring_dedup": OP9_SQL}
