@@ -72,7 +72,8 @@ def _hashed(texts: list[bytes]) -> tuple[_arrays.Words, np.ndarray]:
 
 
 def _symbols_of_windows(window: int):
-    """(key, doc, tag, p, n): windows p..p+n-1 of a document have the symbol key."""
+    """(key, doc_id, tag, p, n): windows p..p+n-1 of a document have the symbol
+    key. Here and below tag is a hash of the document's text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,14 +98,14 @@ def _symbols_of_windows(window: int):
                 at = np.flatnonzero(new)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key[at]), pa.array(ids[begin:end][row[at]]), pa.array(tags[begin:end][row[at]]), pa.array(p[at].astype(np.int32)), pa.array(np.diff(at, append=len(key)).astype(np.int32))],
-                    names=["key", "doc", "tag", "p", "n"],
+                    names=["key", "doc_id", "tag", "p", "n"],
                 )
 
     return run
 
 
 def _window_hashes(window: int):
-    """(h, g, doc, tag, p): 64 and 32 hash bits of the windows to verify."""
+    """(h, g, doc_id, tag, p): 64 and 32 hash bits of the windows to verify."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,7 +122,7 @@ def _window_hashes(window: int):
                 g = _arrays.rolled(_arrays.mix(value + U64(1)), window)[at]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h.view(np.int64)), pa.array((g >> U64(32)).astype(np.uint32).view(np.int32)), pa.array(ids[begin:end][row]), pa.array(tags[begin:end][row]), pa.array((at - words.first[row]).astype(np.int32))],
-                    names=["h", "g", "doc", "tag", "p"],
+                    names=["h", "g", "doc_id", "tag", "p"],
                 )
 
     return run
@@ -132,6 +133,7 @@ def _cut(window: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            copy = batch.column(3).to_pylist()
             for begin, end, texts in slabs(batch.column(1)):
                 windows = batch.column(2).slice(begin, end - begin)
                 words = _arrays.Words(texts)
@@ -141,7 +143,9 @@ def _cut(window: int):
                     stop = first + count
                     body = words.data[words.start[first] : words.start[stop - 1] + words.size[stop - 1] + 1] if count else words.data[:0]
                     gone = 0
-                    if windows[k].is_valid and len(windows[k]):
+                    if copy[begin + k] and count >= window:
+                        gone, body = count, body[:0]
+                    elif windows[k].is_valid and len(windows[k]):
                         p = windows[k].values.to_numpy()
                         edge = np.bincount(p, minlength=count + 1)[: count + 1] - np.bincount(p + window, minlength=count + 1)[: count + 1]
                         stays = np.cumsum(edge)[:count] == 0
@@ -172,20 +176,25 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     if window <= 2 * MARGIN + 2**ROUNDS:
         raise ValueError(f"a window needs over {2 * MARGIN + 2**ROUNDS} words to hold an interior symbol")
     scratch = Scratch(docs.sparkSession, "substrings")
-    # tag tells apart rows of one doc_id that hold different texts
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.shiftright(F.xxhash64(text), 32).cast("int").alias("tag"), text.alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
     known = rows.where("doc_id is not null")
-    symbols = scratch.keep(known.mapInArrow(_symbols_of_windows(window), "key long, doc long, tag int, p int, n int"))
-    shared = scratch.keep(symbols.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("key"))
-    suspect = scratch.keep(symbols.join(shared, "key").groupBy("doc", "tag").agg(F.collect_list(F.struct("p", "n")).alias("spans")))
-    scratch.drop(symbols, shared)
-    to_verify = known.join(suspect.withColumnsRenamed({"doc": "doc_id"}), ["doc_id", "tag"]).select("doc_id", "tag", "text", "spans")
-    windows = scratch.keep(to_verify.mapInArrow(_window_hashes(window), "h long, g int, doc long, tag int, p int"))
+    # later copies of a whole text lose all their windows, so these needn't be compared
+    tags = scratch.keep(known.select("doc_id", "tag").distinct())
+    copied = tags.groupBy("tag").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select("tag", "least")
+    copies = scratch.keep(tags.join(copied, "tag").where("doc_id > least").select("doc_id", "tag"))
+    symbols = scratch.keep(known.mapInArrow(_symbols_of_windows(window), "key long, doc_id long, tag long, p int, n int"))
+    shared = scratch.keep(symbols.groupBy("key").agg(F.min("tag").alias("lo"), F.max("tag").alias("hi")).where("lo < hi").select("key"))
+    suspect = symbols.join(shared, "key").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("p", "n")).alias("spans"))
+    suspect = scratch.keep(suspect.join(copies, ["doc_id", "tag"], "left_anti"))
+    scratch.drop(tags, symbols, shared)
+    to_verify = known.join(suspect, ["doc_id", "tag"]).select("doc_id", "tag", "text", "spans")
+    windows = scratch.keep(to_verify.mapInArrow(_window_hashes(window), "h long, g int, doc_id long, tag long, p int"))
     scratch.drop(suspect)
-    repeated = scratch.keep(windows.groupBy("h", "g").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("h", "g", "lo"))
-    later = windows.join(repeated, ["h", "g"]).where("doc > lo")
-    cuts = scratch.keep(later.groupBy("doc", "tag").agg(F.collect_list("p").alias("cuts")).withColumnsRenamed({"doc": "doc_id"}))
+    repeated = scratch.keep(windows.groupBy("h", "g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h", "g", "lo"))
+    later = windows.join(repeated, ["h", "g"]).where("doc_id > lo")
+    cuts = scratch.keep(later.groupBy("doc_id", "tag").agg(F.collect_list("p").alias("cuts")))
     scratch.drop(windows, repeated)
-    whole = rows.join(cuts, ["doc_id", "tag"], "left").select("doc_id", "text", "cuts")
+    cuts = cuts.withColumn("copy", F.lit(False)).unionByName(copies.select("doc_id", "tag", F.lit(None).cast("array<int>").alias("cuts"), F.lit(True).alias("copy")))
+    whole = rows.join(cuts, ["doc_id", "tag"], "left").select("doc_id", "text", "cuts", F.coalesce("copy", F.lit(False)).alias("copy"))
     return whole.mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept string")
