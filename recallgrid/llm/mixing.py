@@ -137,6 +137,6 @@ def mixed(docs: DataFrame, weights: dict[str | None, int] | None = None, block_d
     places = scratch.keep(mix(docs, weights, block_docs).select(F.col("doc_id").alias("__doc"), F.col("source").alias("__source"), F.col("mix_place").alias("__place")))
     last = places.agg(F.max("__place")).first()[0] or 0
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    joined = docs.join(places, docs["doc_id"].eqNullSafe(places["__doc"]) & docs["source"].eqNullSafe(places["__source"]))
+    joined = docs.join(places.hint("merge"), docs["doc_id"].eqNullSafe(places["__doc"]) & docs["source"].eqNullSafe(places["__source"]))
     part = F.floor(F.col("__place") * parts / (last + 1)).cast("int")
     return joined.select(*[docs[c] for c in docs.columns], "__place").repartitionById(parts, part).sortWithinPartitions("__place").drop("__place")
