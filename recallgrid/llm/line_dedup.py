@@ -79,6 +79,7 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     later = windows.join(repeated, ["h", "g"]).where(place > F.col("first"))
     cuts = scratch.keep(later.groupBy("doc", "tag").agg(F.collect_list("p").alias("__cuts")).withColumnsRenamed({"doc": "__doc", "tag": "__tag"}))
     scratch.drop(windows, repeated)
-    joined = docs.join(cuts, docs["doc_id"].eqNullSafe(cuts["__doc"]) & (tag == cuts["__tag"]), "left").select(*[docs[c] for c in docs.columns], "__cuts")
+    # texts are dealt out by a merge join at every size of the small side
+    joined = docs.join(cuts.hint("merge"), docs["doc_id"].eqNullSafe(cuts["__doc"]) & (tag == cuts["__tag"]), "left").select(*[docs[c] for c in docs.columns], "__cuts")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return joined.mapInArrow(_cut(docs.columns.index("text"), window, len(docs.columns)), f"{schema}, n_lines long, n_removed long")
