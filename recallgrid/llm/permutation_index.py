@@ -176,10 +176,7 @@ def nearest_neighbours(table: DataFrame, is_query, nearest: int = NEAREST, share
     for x in sample(rows, "embedding", FIT_MOST):
         points.setdefault(len(x), []).append(x)
     pivots = {d: spread_pivots(np.stack(xs), PIVOTS) for d, xs in points.items()}
-    prefix = PREFIX
-    least = min((len(p) for p in pivots.values()), default=1)
-    prefix = min(prefix, least)
-    index = scratch.keep(rows.select("vec_id", "embedding").mapInArrow(_index(pivots, prefix, SEGMENT), "dim int, ids binary, points binary, places binary"))
+    index = scratch.keep(rows.select("vec_id", "embedding").mapInArrow(_index(pivots, PREFIX, SEGMENT), "dim int, ids binary, points binary, places binary"))
     asks = rows.where("asks").select("vec_id", "embedding").distinct()
     asked = scratch.keep(asks)
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
@@ -190,7 +187,7 @@ def nearest_neighbours(table: DataFrame, is_query, nearest: int = NEAREST, share
         for r in asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect():
             by_dim.setdefault(len(r["embedding"]), []).append((r["vec_id"], r["embedding"]))
         block = {d: (np.array([i for i, _ in xs], np.int64), np.array([x for _, x in xs], np.float64)) for d, xs in by_dim.items()}
-        part = scratch.keep(index.mapInArrow(_search(spark.sparkContext.broadcast(block), pivots, prefix, share, nearest), "query_id long, vec_id long, score double"))
+        part = scratch.keep(index.mapInArrow(_search(spark.sparkContext.broadcast(block), pivots, PREFIX, share, nearest), "query_id long, vec_id long, score double"))
         found = part if found is None else found.union(part)
     # repeated rows of one vec_id are one candidate, at its least distance
     single = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
