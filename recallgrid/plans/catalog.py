@@ -27,7 +27,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 NOW = 1706745600  # 2024-02-01
-WORDS = "inin onnt leau der ciónra the"
+WORDS = "quement treque ungheit thshing anlyes the quetion"
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
