@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,7 +72,16 @@ def hashed_id(text: Column, bits: int = 50, octets: int = 8) -> Column:
 def hash_embedding(text: Column, dim: int) -> Column:
     """Words counted in dim buckets by MD5, normalized: an embedder that needs no model."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
-    buckets = F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint"), F.lit(dim)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.size(F.filter(buckets, lambda b: b == k)).cast("double"))
-    length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(counts, lambda x: F.when(length > 0, x / length).otherwise(0.0).cast("float"))
+    buckets = F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int"))
+    counts = once(buckets, lambda b: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.size(F.filter(b, lambda x: x == k)).cast("double")))
+
+    def unit(c: Column) -> Column:
+        length = F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
+        return once(length, lambda n: F.transform(c, lambda x: F.when(n > 0, x / n).otherwise(0.0).cast("float")))
+
+    return once(counts, unit)
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use of a value that is worked out a single time for each row."""
+    return F.element_at(F.transform(F.array(value), use), 1)

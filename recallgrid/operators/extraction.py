@@ -70,7 +70,8 @@ def facts_of(answers: DataFrame, key: str = "id", answer: str = "answer") -> Dat
     key, nth, subject, predicate, object, confidence, valid_at. Incomplete
     triples and confidences under CONFIDENCE_LEAST go, confidences are held to
     0..1 (null: 1), and at most FACTS_MOST stay, in order."""
-    listed = F.coalesce(F.from_json(answer, FACT_JSON), F.from_json(answer, f"struct<facts:{FACT_JSON}>")["facts"])
+    is_list = F.ltrim(answer).startswith("[")
+    listed = F.when(is_list, F.from_json(answer, FACT_JSON)).otherwise(F.from_json(answer, f"struct<facts:{FACT_JSON}>")["facts"])
     rows = answers.select(F.col(key), F.posexplode(listed).alias("at", "f"))
     text = {c: F.trim(F.col(f"f.{c}")) for c in ("subject", "predicate", "object")}
     sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("f.confidence", F.lit(1.0))))

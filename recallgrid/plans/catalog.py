@@ -740,3 +740,107 @@ def stream_watch_matches(spark, d):
     e = table(spark, d, "embeddings")
     watches = e.where("vec_id < 5").select(F.col("vec_id").alias("watch_id"), F.col("embedding").alias("vec"), F.lit(0.3).alias("threshold"))
     return rounded(triggers.watch_matches(e.select(F.col("vec_id").alias("node_id"), F.col("embedding").alias("vec")), watches), "similarity")
+
+
+# -- further rows of the inventory -----------------------------------------
+
+
+@query("WITH w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS w FROM conversations), b AS (SELECT conv_id, turn, list_transform(w, lambda x: CAST('0x' || substr(md5(x), 1, 8) AS BIGINT) % 16) AS b FROM w), c AS (SELECT conv_id, turn, list_transform(range(0, 16), lambda k: CAST(len(list_filter(b, lambda y: y = k)) AS DOUBLE)) AS c FROM b), n AS (SELECT *, sqrt(list_sum(list_transform(c, lambda x: x * x))) AS n FROM c) SELECT conv_id, turn, round(c[1] / CASE WHEN n > 0 THEN n ELSE 1 END, 5) AS first, round(c[16] / CASE WHEN n > 0 THEN n ELSE 1 END, 5) AS last FROM n")
+def hash_embeddings(spark, d):
+    e = table(spark, d, "conversations").select("conv_id", "turn", text.hash_embedding(F.col("text"), 16).alias("v"))
+    return e.select("conv_id", "turn", F.round(F.element_at("v", 1).cast("double"), 5).alias("first"), F.round(F.element_at("v", -1).cast("double"), 5).alias("last"))
+
+
+@query(f"WITH {ER} SELECT CASE WHEN id % 2 = 0 THEN 'new' ELSE source END AS source, count(*) AS n FROM (SELECT id, source FROM r UNION ALL SELECT id + 20000000, 'new' FROM r WHERE id % 100 = 0) GROUP BY 1")
+def upsert_batch(spark, d):
+    t = _event_tables(spark, d)
+    new = t.records.where("id % 2 = 0").withColumn("source", F.lit("new"))
+    more = t.records.where("id % 100 = 0").withColumns({"id": F.col("id") + 20_000_000, "source": F.lit("new")})
+    both = lifecycle.last_wins(new.unionByName(more), ["id"], F.col("ts"))
+    return lifecycle.add(t, both, t.vectors.limit(0)).records.groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {ER} SELECT count_if(id % 50 <> 0) + 1 AS edges, (SELECT count(*) FROM r) + 1 AS records FROM r")
+def update_metadata(spark, d):
+    t = _event_tables(spark, d)
+    new = t.records.where("id % 50 = 0").unionByName(t.records.where("id = 50").withColumn("id", F.lit(77_777_777).cast("long")))
+    edges = spark.createDataFrame([(77_777_777, 1, "next", 1.0)], EDGES)
+    out = lifecycle.update_metadata(t, new, edges)
+    return out.edges.agg(F.count("*").alias("edges")).join(out.records.agg(F.count("*").alias("records")))
+
+
+@query(f"WITH {ER} SELECT count_if(CASE WHEN 12 / 100.0 <= (SELECT avg(CASE WHEN source = '_forgotten' OR deleted THEN 1.0 ELSE 0 END) FROM r) THEN NOT (source = '_forgotten' OR deleted) ELSE true END) AS n FROM r")
+def auto_compact(spark, d):
+    return lifecycle.compact_if(_event_tables(spark, d), 0.12).records.agg(F.count("*").alias("n"))
+
+
+@query("SELECT ts_start + k * INTERVAL 6 HOURS AS start, op, count(*) AS n FROM (SELECT date_trunc('day', ts) + (date_part('hour', ts) // 6 - 1) * INTERVAL 6 HOURS AS ts_start, event_type AS op, unnest([0, 1]) AS k FROM events) GROUP BY 1, 2")
+def stream_sliding(spark, d):
+    e = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("op"))
+    return triggers.sliding(e, "12 hours", "6 hours").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query(f"WITH {EP} SELECT episode AS id, 'closed' AS status, CAST(max(ts) AS VARCHAR) AS ended, CAST(count(*) AS VARCHAR) AS members FROM m GROUP BY 1")
+def episode_close(spark, d):
+    edges, members = _episodes(spark, d)
+    heads = as_records(edges.select(F.col("src").alias("id")).distinct())
+    closed = episodes.close(heads, episodes.bounds(edges, members))
+    return closed.select("id", lifecycle.get_attribute("status").alias("status"), lifecycle.get_attribute("episode_end").alias("ended"), lifecycle.get_attribute("member_count").alias("members"))
+
+
+@query("SELECT CAST(c_custkey AS BIGINT) AS id, 'missing parent' AS problem FROM customer WHERE c_nationkey % 5 = 0")
+def hierarchy_problems(spark, d):
+    return hierarchy.problems(_places(spark, d).where("not (id between 500000000 and 500000099 and id % 5 = 0)"))
+
+
+@query("SELECT o_orderkey AS id, CAST(trunc(o_totalprice) AS DOUBLE) AS x FROM orders")
+def leading_numbers(spark, d):
+    o = table(spark, d, "orders")
+    shown = F.concat(F.lit("$ "), F.format_number(F.floor("o_totalprice"), 0), F.lit(" USD"))
+    return o.select(F.col("o_orderkey").alias("id"), text.leading_number(shown).alias("x"))
+
+
+@query("SELECT p_partkey AS id, regexp_replace(regexp_replace(lower(p_name || ' / ' || p_brand), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM part")
+def slugs(spark, d):
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), text.slug(F.concat(F.col("p_name"), F.lit(" / "), F.col("p_brand"))).alias("slug"))
+
+
+@query("SELECT event_id AS id, 'user ' || user_id AS subject, 'did' AS predicate, event_type AS object, round(least(1, greatest(0, value / 100)), 6) AS confidence FROM events WHERE least(1, greatest(0, value / 100)) >= 0.5")
+def facts_from_json(spark, d):
+    e = table(spark, d, "events")
+    fact = F.struct(F.concat(F.lit("user "), F.col("user_id")).alias("subject"), F.lit("did ").alias("predicate"), F.col("event_type").alias("object"), (F.col("value") / 100).alias("confidence"))
+    answers = e.select(F.col("event_id").alias("id"), F.to_json(F.struct(F.array(fact, F.struct(F.lit("").alias("subject"), F.lit("x").alias("predicate"), F.lit("y").alias("object"), F.lit(1.0).alias("confidence"))).alias("facts"))).alias("answer"))
+    return rounded(extraction.facts_of(answers), "confidence").select("id", "subject", "predicate", "object", "confidence")
+
+
+@query("WITH p AS (SELECT o_custkey AS src, o_orderkey % 1500 AS dst, CASE o_orderkey % 3 WHEN 0 THEN 'supports' WHEN 1 THEN 'contradicts' ELSE 'likes' END AS rel_type, o_totalprice / 100000 AS weight, CASE WHEN o_orderkey % 2 = 0 THEN 'why' ELSE '' END AS rationale FROM orders) SELECT src, dst, rel_type, CAST(least(1, greatest(0, weight)) AS FLOAT) AS weight FROM p WHERE rel_type <> 'likes' AND src <> dst AND (rel_type <> 'contradicts' OR rationale <> '') AND src IN (SELECT c_custkey FROM customer) AND dst IN (SELECT c_custkey FROM customer)")
+def ontology_validation(spark, d):
+    kind = F.when(F.col("o_orderkey") % 3 == 0, "supports").when(F.col("o_orderkey") % 3 == 1, "contradicts").otherwise("likes")
+    proposed = table(spark, d, "orders").select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") % 1500).alias("dst"), kind.alias("rel_type"), (F.col("o_totalprice") / 100000).alias("weight"), F.when(F.col("o_orderkey") % 2 == 0, "why").otherwise("").alias("rationale"))
+    return extraction.ontology_edges(proposed, table(spark, d, "customer").select(F.col("c_custkey").alias("id"))).drop("rationale")
+
+
+@query("SELECT c_name AS surface, CASE WHEN c_custkey % 2 = 0 THEN 'c' || (c_custkey % 10) ELSE c_name END AS canonical, CASE WHEN c_custkey % 2 = 0 THEN regexp_replace(lower(c_mktsegment || ' Co.'), '[^a-z0-9]+', '_', 'g') ELSE 'other' END AS entity_type FROM customer")
+def entity_resolution(spark, d):
+    c = table(spark, d, "customer")
+    known = c.where("c_custkey % 2 = 0").select(F.col("c_name").alias("surface"), F.concat(F.lit("c"), F.col("c_custkey") % 10).alias("canonical"), F.concat(F.col("c_mktsegment"), F.lit(" Co.")).alias("entity_type"))
+    return extraction.resolved_entities(c.select(F.col("c_name").alias("surface")), known).drop("entity_id")
+
+
+@query("SELECT c_custkey AS id, c_mktsegment AS namespace_id, CAST(c_nationkey AS VARCHAR) AS entity_id, round(c_acctbal, 2) AS balance FROM customer")
+def domain_profile(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("content"), "c_mktsegment", "c_nationkey", "c_acctbal")
+    found = extraction.profile(c, "c_mktsegment", "c_nationkey")
+    return found.select("id", "namespace_id", "entity_id", F.round(extraction.number_of("c_acctbal"), 2).alias("balance"))
+
+
+@query(f"WITH {ER} SELECT id, '{{\"id\":' || id || ',\"namespace_id\":\"' || namespace_id || '\"}}' AS json FROM l WHERE entity_id = '5'")
+def export_json(spark, d):
+    nodes = live(event_records(spark, d)).where("entity_id = '5'").select("id", "namespace_id")
+    return nodes.select("id", F.to_json(F.struct("id", "namespace_id")).alias("json"))
+
+
+@query(f"WITH {_rrf_sql(60).replace('LIMIT 30', 'LIMIT 60').replace('LIMIT 10', 'LIMIT 5')[5:]}")
+def recall_hybrid(spark, d):
+    found = hybrid.hybrid_search(_both(spark, d), vectors(spark, d), first_vector(spark, d), WORDS, NOW, 20)
+    return rounded(found.orderBy(F.desc(F.round("score", 12)), F.desc("id")).limit(5), "score")
