@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from recallgrid.functions.text import hash_embedding, once
+from recallgrid.functions.text import hash_embedding
 
 
 def embedder(function: Callable[[list[str]], list[list[float]]]) -> Callable[[Column], Column]:
@@ -27,22 +30,23 @@ def hashing(dim: int) -> Callable[[Column], Column]:
     return lambda texts: hash_embedding(texts, dim)
 
 
-def signed_hashing(dim: int) -> Callable[[Column], Column]:
-    """As hashing, but words count positive or negative by a further bit of
-    their hash, so that unlike texts tend to be at right angles."""
+def six_fold(dim: int) -> Callable[[Column], Column]:
+    """Each word counts in six buckets, from the MD5 shifted five bits further
+    each time, with weights 1, 1/2, ... 1/6; commas and stops part words."""
 
-    def embed(texts: Column) -> Column:
-        words = F.filter(F.split(F.lower(F.coalesce(texts, F.lit(""))), r"\s+"), lambda w: w != "")
-        cells = F.transform(words, lambda w: F.struct(F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint"), F.lit(dim)).alias("at"), F.when(F.conv(F.substring(F.md5(w), 9, 1), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0).alias("sign")))
-        sums = once(cells, lambda c: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.aggregate(F.filter(c, lambda x: x["at"] == k), F.lit(0.0), lambda s, x: s + x["sign"])))
+    def embed(texts: list[str]) -> list[list[float]]:
+        out = []
+        for text in texts:
+            v = np.zeros(dim)
+            for word in re.split(r"[\s,.]+", text.lower()):
+                if word:
+                    h = int.from_bytes(hashlib.md5(word.encode()).digest(), "big")
+                    np.add.at(v, [(h >> 5 * j) % dim for j in range(6)], [1 / (j + 1) for j in range(6)])
+            n = np.linalg.norm(v)
+            out.append((v / n if n else v).tolist())
+        return out
 
-        def unit(c: Column) -> Column:
-            length = F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
-            return once(length, lambda n: F.transform(c, lambda x: F.when(n > 0, x / n).otherwise(0.0).cast("float")))
-
-        return once(sums, unit)
-
-    return embed
+    return embedder(embed)
 
 
 def averaged(vectors: Column, dim: int) -> Column:

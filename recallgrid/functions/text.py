@@ -70,9 +70,15 @@ def hashed_id(text: Column, bits: int = 50, octets: int = 8) -> Column:
 
 
 def hash_embedding(text: Column, dim: int) -> Column:
-    """Words counted in dim buckets by MD5, normalized: an embedder that needs no model."""
+    """Words counted in dim buckets by their MD5 as one number modulo dim,
+    normalized: an embedder that needs no model."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
-    buckets = F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int"))
+
+    def bucket(word: Column) -> Column:
+        parts = F.transform(F.array(*[F.lit(k) for k in (1, 9, 17, 25)]), lambda k: F.conv(F.substring(F.md5(word), k, F.lit(8)), 16, 10).cast("bigint"))
+        return F.aggregate(parts, F.lit(0).cast("bigint"), lambda r, x: (r * (1 << 32) + x) % dim).cast("int")
+
+    buckets = F.transform(words, bucket)
     counts = once(buckets, lambda b: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.size(F.filter(b, lambda x: x == k)).cast("double")))
 
     def unit(c: Column) -> Column:

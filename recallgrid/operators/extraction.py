@@ -19,7 +19,10 @@ TOLERANCE = 0.02
 FACTS_MOST = 20
 CONFIDENCE_LEAST = 0.5
 SEVERITY_WEIGHT = {"definite": 1.0, "probable": 0.7, "possible": 0.4}
-LINK_RELATIONS = ("related_to", "derived_from", "caused_by", "contradicts", "supports", "precedes", "part_of", "references", "supersedes", "same_as", "instance_of")
+# Relations that a linker may propose.
+LINK_RELATIONS = (
+    "caused_by", "supports", "contradicts", "supersedes", "part_of", "refers_to", "extracted_from", "uses_creative", "targets_segment", "same_segment_as", "similar_creative_to",
+)
 FACT_JSON = "array<struct<subject:string,predicate:string,object:string,confidence:double,valid_at:bigint>>"
 
 

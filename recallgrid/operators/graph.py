@@ -11,7 +11,8 @@ from recallgrid.functions.scoring import stickiness
 from recallgrid.operators.search import search_batch
 from recallgrid.plans.schema import dead, live
 
-RELATIONS = ("related_to", "derived_from", "caused_by", "contradicts", "supports", "precedes", "part_of", "references", "supersedes")
+# Relation types.
+RELATIONS = ("related_to", "derived_from", "caused_by", "contradicts", "supports", "precedes", "part_of", "references", "multimodal_of")
 
 
 def out_edges(edges: DataFrame, record_id: int) -> DataFrame:

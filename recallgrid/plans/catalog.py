@@ -745,10 +745,10 @@ def stream_watch_matches(spark, d):
 # -- further rows of the inventory -----------------------------------------
 
 
-@query("WITH w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS w FROM conversations), b AS (SELECT conv_id, turn, list_transform(w, lambda x: CAST('0x' || substr(md5(x), 1, 8) AS BIGINT) % 16) AS b FROM w), c AS (SELECT conv_id, turn, list_transform(range(0, 16), lambda k: CAST(len(list_filter(b, lambda y: y = k)) AS DOUBLE)) AS c FROM b), n AS (SELECT *, sqrt(list_sum(list_transform(c, lambda x: x * x))) AS n FROM c) SELECT conv_id, turn, round(c[1] / CASE WHEN n > 0 THEN n ELSE 1 END, 5) AS first, round(c[16] / CASE WHEN n > 0 THEN n ELSE 1 END, 5) AS last FROM n")
+@query("WITH w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS w FROM conversations), b AS (SELECT conv_id, turn, list_transform(w, lambda x: CAST('0x' || substr(md5(x), 32, 1) AS BIGINT)) AS b FROM w), c AS (SELECT conv_id, turn, list_transform(range(0, 16), lambda k: CAST(len(list_filter(b, lambda y: y = k)) AS DOUBLE)) AS c FROM b), n AS (SELECT *, sqrt(list_sum(list_transform(c, lambda x: x * x))) AS n FROM c) SELECT conv_id, turn, round(c[1] / CASE WHEN n > 0 THEN n ELSE 1 END, 3) AS first, round(c[16] / CASE WHEN n > 0 THEN n ELSE 1 END, 3) AS last FROM n")
 def hash_embeddings(spark, d):
     e = table(spark, d, "conversations").select("conv_id", "turn", text.hash_embedding(F.col("text"), 16).alias("v"))
-    return e.select("conv_id", "turn", F.round(F.element_at("v", 1).cast("double"), 5).alias("first"), F.round(F.element_at("v", -1).cast("double"), 5).alias("last"))
+    return e.select("conv_id", "turn", F.round(F.element_at("v", 1).cast("double"), 3).alias("first"), F.round(F.element_at("v", -1).cast("double"), 3).alias("last"))
 
 
 @query(f"WITH {ER} SELECT CASE WHEN id % 2 = 0 THEN 'new' ELSE source END AS source, count(*) AS n FROM (SELECT id, source FROM r UNION ALL SELECT id + 20000000, 'new' FROM r WHERE id % 100 = 0) GROUP BY 1")

@@ -71,13 +71,28 @@ def with_event_ids(events: DataFrame) -> DataFrame:
     return events.withColumn("event_id", F.substring(F.sha2(said, 256), 1, 12))
 
 
-def read_ad_export(spark: SparkSession, path: str, null: str = "∅") -> DataFrame:
-    """A tab-separated export of ads; numbers that don't read are null."""
-    raw = spark.read.option("sep", "\t").option("header", True).option("nullValue", null).csv(path)
-    for column in ("roas", "total_spend", "ctr"):
-        if column in raw.columns:
-            raw = raw.withColumn(column, F.col(column).try_cast("double"))
-    return raw
+#: Fixed value: how exports of ads write a missing value.
+NULL = "ᴺᵁᴸᴸ"
+
+
+def read_ad_export(spark: SparkSession, path: str, numbers: tuple[str, ...] = ("roas", "total_spend", "ctr")) -> DataFrame:
+    """An export of ads: column names first, one to a line, then rows parted
+    by tabs, a row's number in front. Rows of another width are left out;
+    numbers that don't read are null."""
+    lines = spark.read.text(path)
+    names = []
+    for row in lines.limit(500).collect():  # the head of one file
+        if "\t" in row[0]:
+            break
+        if row[0].strip():
+            names.append(row[0].strip())
+    parts = F.split(F.trim("value"), "\t", -1)
+    rows = lines.where(F.col("value").contains("\t")).select(parts.alias("p")).where(F.size("p") == len(names) + 1)
+    columns = [F.element_at("p", 1).try_cast("bigint").alias("row_num")]
+    for k, name in enumerate(names):
+        value = F.nullif(F.trim(F.element_at("p", k + 2)), F.lit(NULL))
+        columns.append((value.try_cast("double") if name in numbers else value).alias(name))
+    return rows.select(*columns)
 
 
 def _vector_file(kind: str):

@@ -217,6 +217,11 @@ def test_vector_files(spark, tmp_path):
     assert [list(r.vec) for r in got] == m.tolist()
 
 
+def test_ad_export(spark, tmp_path):
+    (tmp_path / "ads.csv").write_text(f"name\nctr\n1\ta\t0.5\n2\tb\t{logs.NULL}\n3\tonly two\n", encoding="utf-8")
+    assert [tuple(r) for r in logs.read_ad_export(spark, str(tmp_path / "ads.csv")).orderBy("row_num").collect()] == [(1, "a", 0.5), (2, "b", None)]
+
+
 def test_feedback_log(spark, tmp_path):
     path = str(tmp_path / "fb")
     events = spark.createDataFrame([("fact_endorsed", 1, "a", 10, "u", "{}", "", ""), ("fact_retracted", 2, "a", 20, "u", "{}", "", "")], "kind string, target_id long, namespace_id string, timestamp long, user_id string, payload string, notes string, event_id string")

@@ -41,10 +41,21 @@ def test_chat_memory(box, spark):
     assert memory.read("zoo").count() == 4
 
 
+def test_hashing_is_md5_modulo_dim(spark):
+    import hashlib
+
+    want = [0.0] * 24
+    for w in ("red", "red", "fox"):
+        want[int(hashlib.md5(w.encode()).hexdigest(), 16) % 24] += 1
+    n = sum(x * x for x in want) ** 0.5
+    got = spark.range(1).select(embedders.hashing(24)(F.lit("Red fox  red")).alias("v")).first()["v"]
+    assert got == pytest.approx([x / n for x in want])
+
+
 def test_embedders(spark):
     df = spark.createDataFrame([("a b",), (None,)], "t string")
     model = embedders.embedder(lambda texts: [[float(len(t)), 0.0] for t in texts])
     assert [list(r.v) for r in df.select(model(F.col("t")).alias("v")).collect()] == [[3.0, 0.0], [0.0, 0.0]]
-    signed = df.select(embedders.signed_hashing(8)(F.col("t")).alias("v")).first()["v"]
+    signed = df.select(embedders.six_fold(8)(F.col("t")).alias("v")).first()["v"]
     assert sum(x * x for x in signed) == pytest.approx(1.0, abs=1e-6)
     assert spark.range(1).select(embedders.averaged(F.array(F.array(F.lit(1.0), F.lit(3.0)), F.array(F.lit(3.0))), 2).alias("v")).first()["v"] == [2.0, 1.5]
