@@ -26,7 +26,7 @@ def _windows(text: Column, window: int) -> Column:
 
     def hashed(place: Column) -> Column:
         joined = F.concat_ws("\n", F.slice(lines, place, window))
-        return F.when(F.trim(F.regexp_replace(joined, r"[\t-\r]", "")) != "", F.struct(F.xxhash64(joined).alias("h"), F.hash(joined).alias("g")))
+        return F.when(F.btrim(joined, F.lit(" \t\n\x0b\x0c\r")) != "", F.struct(F.xxhash64(joined).alias("h"), F.hash(joined).alias("g")))
 
     return F.when(F.size(lines) >= window, F.transform(places, hashed))
 
