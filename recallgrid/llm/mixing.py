@@ -110,7 +110,7 @@ def mix(docs: DataFrame, weights: dict[str | None, int] | None = None, block_doc
         raise ValueError(f"no weight of at least 1 for {missing[:5]}")
     plan = phases({k: -(-n // block_docs) for k, n in counts.items()}, chosen)
     # documents are numbered within buckets of their source, and buckets by a running sum
-    buckets = max(16, 2 ** math.ceil(math.log2(max(1, sum(counts.values()) / BUCKET_DOCS))))
+    buckets = max(512, 2 ** math.ceil(math.log2(max(1, sum(counts.values()) / BUCKET_DOCS))))
     placed = rows.withColumn("bucket", F.pmod("h", F.lit(buckets)))
     sizes = placed.groupBy("key", "bucket").count()
     before = sizes.select("key", "bucket", (F.sum("count").over(Window.partitionBy("key").orderBy("bucket")) - F.col("count")).alias("before"))
