@@ -181,13 +181,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     known = rows.where("doc_id is not null")
     # later copies of a whole text lose all their windows, so these needn't be compared
     tags = scratch.keep(known.select("doc_id", "tag").distinct())
-    copied = tags.groupBy("tag").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select("tag", "least")
+    copied = scratch.keep(tags.groupBy("tag").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select("tag", "least"))
     copies = scratch.keep(tags.join(copied, "tag").where("doc_id > least").select("doc_id", "tag"))
     symbols = scratch.keep(known.mapInArrow(_symbols_of_windows(window), "key long, doc_id long, tag long, p int, n int"))
     shared = scratch.keep(symbols.groupBy("key").agg(F.min("tag").alias("lo"), F.max("tag").alias("hi")).where("lo < hi").select("key"))
     suspect = symbols.join(shared, "key").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("p", "n")).alias("spans"))
     suspect = scratch.keep(suspect.join(copies, ["doc_id", "tag"], "left_anti"))
-    scratch.drop(tags, symbols, shared)
+    scratch.drop(tags, copied, symbols, shared)
     to_verify = known.join(suspect, ["doc_id", "tag"]).select("doc_id", "tag", "text", "spans")
     windows = scratch.keep(to_verify.mapInArrow(_window_hashes(window), "h long, g int, doc_id long, tag long, p int"))
     scratch.drop(suspect)
