@@ -196,16 +196,18 @@ def fit(docs: DataFrame, labels: DataFrame, labelled_most: int = LABELLED_MOST,
     bounded_batches(docs.sparkSession)
     usable = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.avg("quality").alias("q")).where("q <> 0.5")
 
-    def share(n: int, most: int) -> F.Column:
-        return F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, most / max(n, 1)))
+    def share(n: int, most: int, *salt: F.Column) -> F.Column:
+        return F.pmod(F.xxhash64("doc_id", *salt), F.lit(1 << 20)) < int((1 << 20) * min(1.0, most / max(n, 1)))
 
     few = usable.where(share(usable.count(), labelled_most)).select(F.col("doc_id").alias("__id"), F.when(F.col("q") > 0.5, 1.0).otherwise(0.0).alias("y")).limit(2 * labelled_most)
     columns = [F.col("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source")]
-    # few is bounded by 2 * labelled_most rows
-    train = docs.join(F.broadcast(few), docs["doc_id"] == F.col("__id")).select("y", *columns)
-    pool = docs.where(share(docs.count(), pool_most)).limit(2 * pool_most).select(F.lit(None).cast("double").alias("y"), *columns)
+    # few is bounded by 2 * labelled_most rows; rows that share a doc_id are drawn from one by one
+    row = F.monotonically_increasing_id()
+    labelled = docs.join(F.broadcast(few), docs["doc_id"] == F.col("__id"))
+    train = labelled.where(share(labelled.count(), 2 * labelled_most, row)).select("y", *columns)
+    pool = docs.where(share(docs.count(), pool_most, row)).select(F.lit(None).cast("double").alias("y"), *columns)
     schema = "y double, content array<double>, metadata array<double>"
-    rows = train.limit(4 * labelled_most).mapInArrow(_collect_features, schema).collect(), pool.mapInArrow(_collect_features, schema).collect()
+    rows = train.mapInArrow(_collect_features, schema).collect(), pool.mapInArrow(_collect_features, schema).collect()
     widths = text_features([b""]).shape[1], metadata_features([b""], [None], [None]).shape[1]
     views = [[np.array([r[v] for r in sorted(part, key=lambda r: (r["content"], r["metadata"], r["y"] or 0))], dtype=np.float64).reshape(len(part), w) for v, w in zip(("content", "metadata"), widths, strict=True)] for part in rows]
     y = np.array([r["y"] for r in sorted(rows[0], key=lambda r: (r["content"], r["metadata"], r["y"] or 0))], dtype=np.float64)
