@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recallgrid.functions import vectors as V
 from recallgrid.functions.text import hashed_id
 from recallgrid.operators.analytics import centroid
-from recallgrid.operators.search import search_batch
 from recallgrid.plans.schema import FACT, as_records, live
 from recallgrid.plans.session import ensure_checkpoint_dir
 
 INTO = "consolidated_into"
+EPSILON = 1e-9
+#: Components of the vectors of a block, of which a task holds two.
+BLOCK_PARTS = 1 << 19
 
 
 class Consolidation(NamedTuple):
@@ -24,15 +29,99 @@ class Consolidation(NamedTuple):
     clusters: DataFrame
 
 
-def similar_pairs(vectors: DataFrame, least: float = 0.85, neighbours: int = 64) -> DataFrame:
-    """(a, b, similarity), a < b, of cosine at least least, among each
-    vector's nearest neighbours of its own direction."""
-    unit = vectors.select("id", V.normalized(F.col("vec")).alias("vec"))
-    near = search_batch(unit, unit.select(F.col("id").alias("query_id"), "vec"), neighbours + 1, "cosine").where("query_id <> id")
-    pairs = near.where(1 - F.col("distance") >= least).select(F.least("query_id", "id").alias("a"), F.greatest("query_id", "id").alias("b"), (1 - F.col("distance")).alias("similarity"))
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links a-b replaced by (node, smallest node of its component), node > that."""
+    nodes, code = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, root = code[: len(a)], code[len(a) :], np.arange(len(nodes))
+    while True:
+        least, lower = np.minimum(root[x], root[y]), root.copy()
+        np.minimum.at(lower, root[x], least)
+        np.minimum.at(lower, root[y], least)
+        lower = lower[lower]
+        if (lower == root).all():
+            other = root != np.arange(len(nodes))
+            return nodes[other], nodes[root[other]]
+        root = lower
+
+
+def _verify(least: float, forest: bool):
+    """Compares the two blocks of each row; gives the pairs of cosine at least
+    least, or a spanning forest of them."""
+
+    def block(rows: pa.ListScalar, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        uid, vec = rows.values.flatten()
+        m = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(uid), dim)
+        return uid.to_numpy(), m, np.sqrt((m**2).sum(1))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dim, lo, hi, left, right in zip(*batch.columns, strict=True):
+                (xs, x, x_norm), (ys, y, y_norm) = block(left, dim.as_py()), block(right, dim.as_py())
+                for i in range(0, len(xs), 256):
+                    cosine = (x[i : i + 256] @ y.T) / (x_norm[i : i + 256, None] * y_norm[None] + EPSILON)
+                    hit = cosine >= least
+                    if lo == hi:
+                        hit &= xs[i : i + 256, None] < ys[None]
+                    a, b = np.nonzero(hit)
+                    found, of = (xs[i + a], ys[b]), cosine[a, b]
+                    if forest:
+                        found = _forest(*found)
+                        of = np.full(len(found[0]), least)
+                    yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1]), pa.array(of)], names=["x", "y", "similarity"])
+
+    return run
+
+
+def _compared(vectors: DataFrame, least: float, forest: bool, block: int | None) -> tuple[DataFrame, DataFrame]:
+    """(members, found). members: id, uid, first (the smallest id) and own (the
+    cosine with itself) of all vectors, equal ones under one uid. found: x, y
+    and similarity of the pairs of uids, or of a spanning forest of them."""
+    spark = vectors.sparkSession
+    ensure_checkpoint_dir(spark)
+    # rows of found's input are whole blocks (a setting of the session)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    some = vectors.where("id is not null and size(vec) > 0").select("id", "vec")
+    distinct = some.groupBy("vec").agg(F.min("id").alias("first")).select(F.monotonically_increasing_id().alias("uid"), "first", "vec", F.size("vec").alias("dim")).checkpoint()
+    members = some.join(distinct.withColumn("own", V.cosine(F.col("vec"), F.col("vec"), EPSILON)), "vec").select("id", "uid", "first", "own")
+    most = F.lit(block) if block else F.greatest(F.lit(1), F.floor(F.lit(BLOCK_PARTS) / F.col("dim")))
+    deal = distinct.groupBy("dim").agg(F.count("*").alias("rows")).select("dim", F.ceil(F.col("rows") / most).cast("int").alias("n")).checkpoint()
+    dealt = distinct.join(F.broadcast(deal), "dim").withColumn("block", F.pmod(F.xxhash64("uid"), F.col("n")).cast("int"))
+    blocks = dealt.groupBy("dim", "n", "block").agg(F.collect_list(F.struct("uid", "vec")).alias("held")).checkpoint()
+    left = blocks.select("dim", F.col("block").alias("lo"), F.explode(F.sequence("block", F.col("n") - 1)).alias("hi"), F.col("held").alias("left"))
+    right = blocks.select("dim", F.explode(F.sequence(F.lit(0), "block")).alias("lo"), F.col("block").alias("hi"), F.col("held").alias("right"))
+    # few rows, but much work for each
+    tasks = min(10_000, int(deal.agg(F.sum(F.expr("n * (n + 1) / 2"))).first()[0] or 1))
+    key = ["dim", "lo", "hi"]
+    both = left.repartition(tasks, *key).join(right.repartition(tasks, *key).hint("merge"), key)
+    return members, both.mapInArrow(_verify(least, forest), "x long, y long, similarity double")
+
+
+def similar_pairs(vectors: DataFrame, least: float = 0.85, block: int | None = None) -> DataFrame:
+    """(a, b, similarity), a < b: all pairs of cosine at least least.
+
+    Every two vectors of one dimension are compared, in blocks (of block
+    vectors), equal ones as one. Null and empty vectors are in no pair; for
+    ids of several vectors the greatest similarity counts."""
+    members, found = _compared(vectors, least, False, block)
+    x, y = (members.select(F.col("uid").alias(c), F.col("id").alias(f"{c}_id")) for c in ("x", "y"))
+    across = found.join(x, "x").join(y, "y").select("x_id", "y_id", "similarity")
+    copies = members.where(F.col("own") >= least)
+    within = copies.select("uid", F.col("id").alias("x_id"), F.col("own").alias("similarity")).join(copies.select("uid", F.col("id").alias("y_id")), "uid").where("x_id < y_id")
+    pairs = across.where("x_id <> y_id").unionByName(within.drop("uid")).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"), "similarity")
     return pairs.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
+def similar_links(vectors: DataFrame, least: float = 0.85, block: int | None = None) -> DataFrame:
+    """(a, b): links that join just what similar_pairs does, a spanning forest
+    of each block's pairs and copies to the first of them."""
+    members, found = _compared(vectors, least, True, block)
+    # any id of a vector stands for it, if its copies are linked to that
+    x, y = (members.where("id = first").select(F.col("uid").alias(c), F.col("id").alias(k)).distinct() for c, k in (("x", "a"), ("y", "b")))
+    across = found.join(x, "x").join(y, "y").select("a", "b")
+    copies = members.where(F.col("own") >= least).select(F.col("first").alias("a"), F.col("id").alias("b"))
+    return across.unionByName(copies).where("a <> b").distinct()
+
+
 def connected(pairs: DataFrame, most_rounds: int = 30) -> DataFrame:
     """(id, root): the smallest id of each component of pairs (a, b). Every
     round is checkpointed in the session's spark.checkpoint.dir."""
@@ -62,7 +151,7 @@ def consolidate(records: DataFrame, vectors: DataFrame, edges: DataFrame, now: i
     if recent_seconds is not None:
         hit = hit.where(F.col("ts") >= now - recent_seconds)
     chosen = vectors.join(hit.select("id"), "id", "left_semi")
-    labels = connected(similar_pairs(chosen, least))
+    labels = connected(similar_links(chosen, least))
     members = hit.join(labels, "id")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("id", F.substring("content", 1, 200).alias("content")))), lambda m: m["content"])
     clusters = members.groupBy("root").agg(

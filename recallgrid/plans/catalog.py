@@ -717,7 +717,7 @@ def duplicate_pairs(spark, d):
 
 @query(f"WITH RECURSIVE {VR}, l AS (SELECT a.id AS a, b.id AS b FROM vr a JOIN vr b ON a.id <> b.id AND list_inner_product(a.vec, b.vec) >= 0.5), reach AS (SELECT a AS id, a AS root FROM l UNION SELECT l.b, r.root FROM reach r JOIN l ON l.a = r.id) SELECT id, min(root) AS root FROM reach GROUP BY id")
 def consolidate_components(spark, d):
-    return consolidate.connected(consolidate.similar_pairs(vectors(spark, d).select("id", "vec"), 0.5))
+    return consolidate.connected(consolidate.similar_links(vectors(spark, d).select("id", "vec"), 0.5))
 
 
 # -- streams, as their batch equivalents -----------------------------------

@@ -272,6 +272,25 @@ def test_consolidate(spark):
     assert out.edges.count() == 3 and out.vectors.count() == 5
 
 
+def test_similar_pairs_are_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    # copies of one vector, two groups closer within than across, zeros, single ones
+    groups = [np.tile(rng.normal(size=6), (90, 1)), [1, 0.5, 0, 0, 0, 0] + 0.001 * rng.normal(size=(80, 6)), [1, -0.1, 0, 0, 0, 0] + 0.001 * rng.normal(size=(80, 6)), np.zeros((2, 6)), rng.normal(size=(30, 6))]
+    m = np.concatenate(groups)
+    n = np.linalg.norm(m, axis=1)
+    alike = m @ m.T / (n[:, None] * n[None] + 1e-9) >= 0.8
+    v = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(m)] + [(900, None), (901, []), (902, [1.0])], "id long, vec array<double>")
+    root = np.arange(len(m))
+    while (new := np.where(alike, root[None], len(m)).min(1).clip(max=root)).tolist() != root.tolist():
+        root = new
+    expected = {k: int(r) for k, r in enumerate(root) if alike[k].sum() - alike[k, k]}
+    for block in (None, 50):
+        got = [(r.a, r.b) for r in consolidate.similar_pairs(v, 0.8, block=block).collect()]
+        assert sorted(got) == [(a, b) for a, b in np.argwhere(alike).tolist() if a < b]
+        labels = consolidate.connected(consolidate.similar_links(v, 0.8, block=block))
+        assert {r.id: r.root for r in labels.collect()} == expected
+
+
 def test_planner(spark, tables):
     got = execute(plan("fox"), tables.records, tables.vectors, tables.edges, [1.0, 0.0], 1000)
     assert {r.id for r in got.collect()} >= {1, 2}
