@@ -147,8 +147,9 @@ def _uncontained(found: list[tuple]) -> list[tuple[int, int, Rule]]:
     return won
 
 
-#: A text in which this finds nothing holds nothing that a rule finds.
-SIGNS = re.compile(rb"licen|copyright|gpl|spdx|permission|redistrib|public|cc0|cc[^0-9a-z\x80-\xff]+by|rights|confidential|altered|unencumbered|wtfpl|do[^0-9a-z\x80-\xff]+what|may[^0-9a-z\x80-\xff]+not")
+#: A text in which this finds nothing holds nothing that a rule finds: a mention
+#: has "licen", or one of these verbs and "under" before the name.
+SIGNS = re.compile(rb"licen|(?:released|distributed|published|available)[^0-9a-z\x80-\xff]+under|copyright|gpl|spdx|permission|redistrib|public|cc0|cc[^0-9a-z\x80-\xff]+by|rights|confidential|altered|unencumbered|wtfpl|do[^0-9a-z\x80-\xff]+what|may[^0-9a-z\x80-\xff]+not")
 
 WORD_BYTES = np.zeros(256, dtype=bool)
 WORD_BYTES[48:58] = WORD_BYTES[97:123] = WORD_BYTES[128:] = True

@@ -256,6 +256,42 @@ def test_license_rules(text, labels):
     assert licenses.scan(text.lower().encode()).labels == labels
 
 
+def spelled(parsed, rng):
+    """A text that a rule's expression matches, its branches and repeats drawn."""
+    out = ""
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(arg)
+        elif name == "SUBPATTERN":
+            out += spelled(arg[3], rng)
+        elif name == "BRANCH":
+            out += spelled(rng.choice(arg[1]), rng)
+        elif name == "MAX_REPEAT":
+            out += "".join(spelled(arg[2], rng) for _ in range(rng.randint(arg[0], min(int(arg[1]), arg[0] + 1))))
+        elif name == "IN":
+            kind, value = rng.choice(arg)
+            out += {"LITERAL": lambda v: chr(v), "RANGE": lambda v: chr(rng.randint(*v)), "CATEGORY": lambda v: "7"}[str(kind)](value)
+        else:
+            assert name in ("ASSERT_NOT", "AT"), name
+    return out
+
+
+def rule_examples():
+    rng = random.Random(12)
+    return [(rule, spelled(re._parser.parse(rule.pattern.pattern), rng)) for rule in licenses.rules() for _ in range(30)]
+
+
+def test_license_signs_miss_no_rule(monkeypatch):
+    examples = rule_examples() + [(None, x) for x in ("released under apache 2 0", "distributed under mit", "available under bsd 3 clause", "published under creative commons attribution 4 0")]
+    gated = [licenses.scan(text.replace(" ", "-\n").encode()) for _, text in examples]
+    monkeypatch.setattr(licenses, "SIGNS", re.compile(b""))
+    for (rule, text), got in zip(examples, gated, strict=True):
+        assert rule is None or rule.pattern.fullmatch(text)
+        assert got == licenses.scan(text.replace(" ", "-\n").encode()), text
+    assert all(got.labels for got in gated[-4:])
+
+
 def test_licenses_take_odd_tables(odd):
     assert licenses.scan_licenses(odd).count() == odd.count()
 
