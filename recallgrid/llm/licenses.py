@@ -28,8 +28,10 @@ BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public l
 
 #: Label, keyword, regular expressions of its names.
 NAMES = (
-    ("mit", "mit", (r"mit", r"mit x11", r"expat")),
-    ("apache", "apache", (r"apache(?: software)?", r"apache 2(?: 0)?", r"asl 2(?: 0)?")),
+    ("mit", "mit", (r"mit", r"mit x11")),
+    ("mit", "expat", (r"expat",)),
+    ("apache", "apache", (r"apache(?: software)?", r"apache 2(?: 0)?")),
+    ("apache", "asl 2", (r"asl 2(?: 0)?",)),
     ("agpl", "affero", (r"(?:gnu )?affero general public", r"gnu affero gpl")),
     ("lgpl", "general public", (r"(?:gnu )?lesser general public", r"(?:gnu )?library general public", r"gnu library or lesser general public")),
     ("gpl", "general public", (r"(?:gnu )?general public",)),
@@ -40,7 +42,8 @@ NAMES = (
     ("epl", "eclipse", (r"eclipse public", r"eclipse distribution")),
     ("cddl", "common development", (r"common development and distribution",)),
     ("bsd", "bsd", (r"bsd", r"(?:simplified|modified|revised|new|original) bsd", r"(?:two|three|four|[0234]) clause bsd", r"bsd [0234] clause")),
-    ("isc", "isc", (r"isc", r"internet systems consortium")),
+    ("isc", "isc", (r"isc",)),
+    ("isc", "internet systems", (r"internet systems consortium",)),
     ("zlib", "zlib", (r"zlib", r"zlib libpng")),
     ("boost", "boost", (r"boost software",)),
     ("artistic", "artistic", (r"artistic", r"perl artistic")),

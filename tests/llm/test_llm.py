@@ -292,6 +292,14 @@ def test_license_signs_miss_no_rule(monkeypatch):
     assert all(got.labels for got in gated[-4:])
 
 
+def test_license_rules_are_tried_on_what_they_match():
+    assert len(licenses.rules()) == 232
+    for rule, text in rule_examples():
+        assert rule.keyword in text, (rule, text)
+    for text, label in (("under the Expat license", "mit"), ("ASL 2.0 license", "apache"), ("Internet Systems Consortium license", "isc")):
+        assert licenses.scan(text.lower().encode()).labels == [label]
+
+
 def test_licenses_take_odd_tables(odd):
     assert licenses.scan_licenses(odd).count() == odd.count()
 
