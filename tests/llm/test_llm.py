@@ -150,6 +150,23 @@ def test_representatives_catch_near_copies(spark):
     assert kept == [r[0] for r in rows]
 
 
+def test_representatives_do_not_depend_on_list_length(spark, monkeypatch):
+    rng = random.Random(15)
+    common = [f"c{k}" for k in range(220)]
+    rows = []
+    for k in range(120):
+        w = common + [f"w{k}-{n}" for n in range(60)]
+        rows.append((k, " ".join(w)))
+        for n in range(3):
+            at = rng.randrange(300)
+            rows.append((1000 * (n + 1) + k, " ".join(x if i not in (at, at // 2, at // 3, at // 4, at // 5) else "changed" for i, x in enumerate(w))))
+    kept = []
+    for most in (10**6, 40, 4):
+        monkeypatch.setattr(simhash_wide, "LIST_MOST", most)
+        kept.append(sorted(r.doc_id for r in simhash_wide.representatives(docs(spark, rows)).collect()))
+    assert kept[0] == kept[1] == kept[2] and len(kept[0]) < len(rows)
+
+
 def test_representatives_take_odd_tables(odd):
     got = simhash_wide.representatives(odd)
     assert got.columns == odd.columns and got.count() == (0 if not odd.count() else 4)
