@@ -6,20 +6,24 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from recallgrid.llm import _arrays
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: the session's spark.checkpoint.dir,
-    or where that is unset (tests, local mode) a temporary one."""
+    or where that is unset in local mode (tests) a temporary one. A cluster
+    without that setting is refused."""
     at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not at:
         at = tempfile.mkdtemp(prefix="recallgrid-")
         spark.conf.set("spark.checkpoint.dir", at)
@@ -65,6 +69,25 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
+def fresh(name: str) -> str:
+    """A column name that no table has."""
+    return f"_{name}_{uuid.uuid4().hex}"
+
+
+def map_rows(df: DataFrame, run: Callable, more: str) -> DataFrame:
+    """df.mapInArrow for a function that gives df's columns and more (a schema
+    string); df's columns may have any names."""
+    names = [f"c{k}" for k in range(len(df.columns))]
+    plain = df.toDF(*names)
+    added = StructType.fromDDL(more)
+    return plain.mapInArrow(run, StructType([*plain.schema.fields, *added.fields])).toDF(*df.columns, *added.names)
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use of a value that is worked out a single time for each row."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def binary_texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null counts as empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]

@@ -14,21 +14,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recallgrid.llm._spark import Scratch
+from recallgrid.llm._spark import Scratch, fresh, map_rows, once
 
 WINDOW = 3
 
 
 def _windows(text: Column, window: int) -> Column:
     """Of each window, in the order of places: (h, g), 96 hash bits; null if it is blank."""
-    lines = F.split(text, "\n", -1)
-    places = F.sequence(F.lit(1), F.size(lines) - (window - 1))
 
-    def hashed(place: Column) -> Column:
-        joined = F.concat_ws("\n", F.slice(lines, place, window))
+    def hashed(joined: Column) -> Column:
         return F.when(F.btrim(joined, F.lit(" \t\n\x0b\x0c\r")) != "", F.struct(F.xxhash64(joined).alias("h"), F.hash(joined).alias("g")))
 
-    return F.when(F.size(lines) >= window, F.transform(places, hashed))
+    def of_lines(lines: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(lines) - window)
+        each = F.transform(places, lambda place: once(F.concat_ws("\n", *[F.get(lines, place + k) for k in range(window)]), hashed))
+        return F.when(F.size(lines) >= window, each)
+
+    # the lambda's variable is bound once, so that a text is split a single time
+    return once(F.split(text, "\n", -1), of_lines)
 
 
 def _cut(at: int, window: int, width: int):
@@ -48,9 +51,10 @@ def _cut(at: int, window: int, width: int):
                 texts.append(value)
                 lines.append(len(rows))
                 removed.append(gone)
-            columns = list(batch.columns[:width])
+            columns = list(batch.columns)
             columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(removed, pa.int64())], names=[*batch.schema.names[:width], "n_lines", "n_removed"])
+            columns[width] = pa.nulls(batch.num_rows, columns[width].type)  # dropped
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(removed, pa.int64())], names=[*batch.schema.names, "n_lines", "n_removed"])
 
     return run
 
@@ -71,15 +75,15 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     docs = docs.drop("n_lines", "n_removed")
     tag = F.xxhash64(F.coalesce("text", F.lit("")))
     rows = docs.select("doc_id", tag.alias("tag"), "text")
-    found = rows.select("doc_id", "tag", F.posexplode(_windows(F.col("text"), window)).alias("p", "w")).where("w is not null")
+    found = rows.select("doc_id", "tag", F.posexplode_outer(_windows(F.col("text"), window)).alias("p", "w")).where("w is not null")
     windows = scratch.keep(found.select("w.h", "w.g", F.col("doc_id").alias("doc"), "tag", "p"))
     place = F.struct(F.isnull("doc"), "doc", "tag", "p")
     repeated = windows.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
     repeated = scratch.keep(repeated.select("h", "g", "first"))
     later = windows.join(repeated, ["h", "g"]).where(place > F.col("first"))
-    cuts = scratch.keep(later.groupBy("doc", "tag").agg(F.collect_list("p").alias("__cuts")).withColumnsRenamed({"doc": "__doc", "tag": "__tag"}))
+    own, own_tag, places = fresh("doc"), fresh("tag"), fresh("cuts")
+    cuts = scratch.keep(later.groupBy("doc", "tag").agg(F.collect_list("p").alias(places)).withColumnsRenamed({"doc": own, "tag": own_tag}))
     scratch.drop(windows, repeated)
     # texts are dealt out by a merge join at every size of the small side
-    joined = docs.join(cuts.hint("merge"), docs["doc_id"].eqNullSafe(cuts["__doc"]) & (tag == cuts["__tag"]), "left").select(*[docs[c] for c in docs.columns], "__cuts")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return joined.mapInArrow(_cut(docs.columns.index("text"), window, len(docs.columns)), f"{schema}, n_lines long, n_removed long")
+    joined = docs.join(cuts.hint("merge"), F.col("doc_id").eqNullSafe(F.col(own)) & (tag == F.col(own_tag)), "left").drop(own, own_tag)
+    return map_rows(joined, _cut(docs.columns.index("text"), window, len(docs.columns)), "n_lines long, n_removed long").drop(places)

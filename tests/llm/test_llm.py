@@ -353,6 +353,17 @@ def test_lines_take_odd_tables(odd):
     assert {r.n_lines for r in got.where("text is null").collect()} <= {0}
 
 
+def test_lines_of_a_very_long_text(spark):
+    """A text's windows take time in proportion to its lines."""
+    text = "\n".join(f"line {k % 700} of many" for k in range(60_000))
+    df = docs(spark, [(1, text), (2, "x")]).withColumn("__cuts", F.lit(1)).withColumn("__doc", F.lit(2)).withColumn("a`b", F.lit("c"))
+    got = line_dedup.dedup_lines(df)
+    assert got.columns == [*df.columns, "n_lines", "n_removed"]
+    by_id = {r.doc_id: (r.n_lines, r.n_removed, r["a`b"]) for r in got.collect()}
+    # line 700 on begins the later occurrences
+    assert by_id == {1: (60_000, 60_000 - 700, "c"), 2: (1, 0, "c")}
+
+
 # -- 5 and 6 ---------------------------------------------------------------
 
 
