@@ -88,6 +88,21 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+#: A key is hot if it holds over 1 / HOT_KEYS of the rows, so that there are fewer hot keys than this.
+HOT_KEYS = 1000
+
+
+def spread_join(big: DataFrame, small: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """Inner join of big (of total rows) with small, which has one row for
+    each key and in n the number of big's rows that have it. The rows of hot
+    keys stay where they are and meet the few rows of these keys in a
+    broadcast; all others are shuffled, and no key holds much of that."""
+    hot = F.col("n") * HOT_KEYS > total
+    few, rest = small.where(hot).drop("n"), small.where(~hot).drop("n")
+    spread = big.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(rest, keys)
+    return big.join(F.broadcast(few), keys).unionByName(spread)
+
+
 def binary_texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null counts as empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]

@@ -1,20 +1,24 @@
 """SimHash near-dedup by a byte-position index with count filtering.
 
 A fingerprint of 64 bits has eight bytes. Two fingerprints that differ in at
-most four bits agree in four bytes at least, so the guaranteed number of
-matches is four. The index therefore posts each distinct fingerprint under
-every choice of four positions with their bytes (70 postings of 32 bits):
-exactly the pairs whose tally of shared positional bytes reaches four meet in
-a posting list, and there their differing bits are counted. A list gives a
-spanning forest of its links, never all its pairs. A list of more than
-LIST_MOST fingerprints is posted again, under four of the eight nibbles that
-are still free; it then holds 65,536 fingerprints at most, as no more fit in
-the 16 bits left.
+most four bits agree in four bytes at least: four is the guaranteed number of
+matches. The index posts each distinct fingerprint under 20 triples of
+positions with their bytes, chosen so that every four positions hold one of
+the triples; a pair with four matches thus meets in a list. There the
+positional bytes that it shares are tallied, pairs below the guaranteed number
+are left out, and of the others the differing bits are counted. A list gives a
+spanning forest of its links, never all its pairs.
+
+A list of more than LIST_MOST fingerprints is posted again, under one byte
+more (of the five that are free a pair shares one at least), and if that is
+still too long under four of the eight nibbles that are then free; such a list
+holds 65,536 fingerprints at most, as no more fit in the 16 bits left.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -23,13 +27,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recallgrid.llm import _arrays
-from recallgrid.llm._spark import Scratch, components, slabs
+from recallgrid.llm._spark import Scratch, components, slabs, spread_join
 
 MOST_BITS = 4
 LIST_MOST = 8192
 FOURS = list(combinations(range(8), 4))
 
 
+def covering_triples() -> list[tuple[int, ...]]:
+    """20 triples of eight positions, one of them in every four positions
+    (Turan's construction): of the classes 0-2, 3-5 and 6-7 all three in one
+    class, or two in one and one in the next."""
+    place = [0, 0, 0, 1, 1, 1, 2, 2]
+
+    def fits(triple: tuple[int, ...]) -> bool:
+        n = [sum(place[p] == c for p in triple) for c in range(3)]
+        return 3 in n or any(n[c] == 2 and n[(c + 1) % 3] == 1 for c in range(3))
+
+    return [t for t in combinations(range(8), 3) if fits(t)]
+
+
+TRIPLES = covering_triples()
+FREE = np.array([[p for p in range(8) if p not in t] for t in TRIPLES])
+
+
 def fingerprints_of(texts: list[bytes], width: int) -> np.ndarray:
     """SimHash of each text: ASCII lower case, white-space words, shingles of
     width words (the whole text if it has fewer), XXH64 with seed 42. No
@@ -68,27 +89,52 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
+def _octets(fp: np.ndarray) -> np.ndarray:
+    return fp.view(np.uint8).reshape(-1, 8).astype(np.int64)
+
+
+def _postings(keys: list[np.ndarray], fp: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.tile(fp, len(keys)))], names=["key", "fp"])
+
+
 def _post(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The 70 postings of each fingerprint."""
+    """The 20 postings of each fingerprint; key: triple, its three bytes."""
     for batch in batches:
-        for i in range(0, batch.num_rows, 4096):
-            fp = batch.column(0).slice(i, 4096).to_numpy()
-            octets = fp.view(np.uint8).reshape(-1, 8).astype(np.int64)
-            keys = [(n << 32) | (octets[:, a] << 24) | (octets[:, b] << 16) | (octets[:, c] << 8) | octets[:, d] for n, (a, b, c, d) in enumerate(FOURS)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.tile(fp, len(FOURS)))], names=["key", "fp"])
+        for i in range(0, batch.num_rows, 8192):
+            fp = batch.column(0).slice(i, 8192).to_numpy()
+            octets = _octets(fp)
+            yield _postings([(n << 24) | (octets[:, a] << 16) | (octets[:, b] << 8) | octets[:, c] for n, (a, b, c) in enumerate(TRIPLES)], fp)
+
+
+def _post_bytes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The five finer postings of each (list, fingerprint) of the long lists;
+    key: that of the list, which of the free positions, its byte."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 8192):
+            key, fp = (batch.column(k).slice(i, 8192).to_numpy() for k in (0, 1))
+            rest = np.take_along_axis(_octets(fp), FREE[key >> 24], axis=1)
+            yield _postings([(key << 11) | (n << 8) | rest[:, n] for n in range(5)], fp)
 
 
-def _post_again(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The 70 finer postings of each (list, fingerprint) of the long lists."""
+def _post_nibbles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The 70 postings of each (list of _post_bytes, fingerprint) that is
+    still too long; key: that of the list, which nibbles of the four bytes
+    left, their values."""
+    left = np.array([[[p for p in free if p != free[n]] for n in range(5)] for free in FREE.tolist()])
     for batch in batches:
         for i in range(0, batch.num_rows, 4096):
             key, fp = (batch.column(k).slice(i, 4096).to_numpy() for k in (0, 1))
-            octets = fp.view(np.uint8).reshape(-1, 8).astype(np.int64)
-            free = np.array([[p for p in range(8) if p not in four] for four in FOURS])[key >> 32]
-            rest = np.take_along_axis(octets, free, axis=1)
+            rest = np.take_along_axis(_octets(fp), left[key >> 35, (key >> 8) & 7], axis=1)
             nibbles = np.stack([rest & 15, rest >> 4], axis=2).reshape(-1, 8)
-            keys = [(key << 23) | (n << 16) | (nibbles[:, a] << 12) | (nibbles[:, b] << 8) | (nibbles[:, c] << 4) | nibbles[:, d] for n, (a, b, c, d) in enumerate(FOURS)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.tile(fp, len(FOURS)))], names=["key", "fp"])
+            yield _postings([(key << 23) | (n << 16) | (nibbles[:, a] << 12) | (nibbles[:, b] << 8) | (nibbles[:, c] << 4) | nibbles[:, d] for n, (a, b, c, d) in enumerate(FOURS)], fp)
+
+
+def shared_bytes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of each pair of fingerprints the number of equal positional bytes."""
+    low = np.uint64(0x7F7F7F7F7F7F7F7F)
+    differing = (a ^ b).view(np.uint64)
+    # a byte's high bit is set if the byte isn't zero
+    return 8 - np.bitwise_count((((differing & low) + low) | differing) & ~low).astype(np.int64)
 
 
 LINKS = "long_list boolean, a long, b long"
@@ -101,6 +147,7 @@ def _row(long_list: bool, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 def _verify(most_bits: int, list_most: int | None):
     """Reads postings sorted by key, as lists; gives links (False, fp, fp) and,
     of lists longer than list_most, the postings (True, key, fp)."""
+    guaranteed = 8 - most_bits
 
     def linked(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
         found, waiting, at = [], 0, np.arange(len(key))
@@ -109,7 +156,8 @@ def _verify(most_bits: int, list_most: int | None):
             step += 1
             at = at[at + step < len(key)]
             at = at[key[at] == key[at + step]]
-            near = at[np.bitwise_count((fp[at] ^ fp[at + step]).view(np.uint64)) <= most_bits]
+            met = at[shared_bytes(fp[at], fp[at + step]) >= guaranteed]
+            near = met[np.bitwise_count((fp[met] ^ fp[met + step]).view(np.uint64)) <= most_bits]
             if near.size:
                 found.append((fp[near], fp[near + step]))
                 waiting += near.size
@@ -162,11 +210,15 @@ def fingerprint_links(scratch: Scratch, distinct: DataFrame, most_bits: int = MO
     bits, that join the same fingerprints as all such links do."""
     if not 0 <= most_bits <= MOST_BITS:
         raise ValueError("the index guarantees its four matches at 4 differing bits or fewer")
-    lists = distinct.select("fp").mapInArrow(_post, "key long, fp long").repartition("key").sortWithinPartitions("key", "fp")
-    found = scratch.keep(lists.mapInArrow(_verify(most_bits, list_most), LINKS))
-    again = found.where("long_list").select(F.col("a").alias("key"), F.col("b").alias("fp")).mapInArrow(_post_again, "key long, fp long")
-    again = again.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_verify(most_bits, None), LINKS)
-    return found.where("not long_list").union(again).select("a", "b")
+    todo, links = distinct.select("fp").mapInArrow(_post, "key long, fp long"), []
+    for finer in (_post_bytes, _post_nibbles, None):
+        lists = todo.repartition("key").sortWithinPartitions("key", "fp")
+        found = scratch.keep(lists.mapInArrow(_verify(most_bits, list_most if finer else None), LINKS))
+        links.append(found.where("not long_list").select("a", "b"))
+        if finer is None or found.where("long_list").isEmpty():
+            break
+        todo = found.where("long_list").select(F.col("a").alias("key"), F.col("b").alias("fp")).mapInArrow(finer, "key long, fp long")
+    return reduce(DataFrame.unionAll, links)
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, most_bits: int = MOST_BITS) -> DataFrame:
@@ -181,9 +233,11 @@ def near_duplicates(docs: DataFrame, width: int = 4, most_bits: int = MOST_BITS)
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.keep(fingerprints(docs, width))
-    distinct = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("least_doc")))
+    distinct = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("least_doc"), F.count("*").alias("n")))
     star = components(scratch, fingerprint_links(scratch, distinct, most_bits))
-    rooted = distinct.join(star, F.col("fp") == F.col("id"), "left").select("fp", "least_doc", F.coalesce("root", "fp").alias("root"))
+    rooted = distinct.join(star, F.col("fp") == F.col("id"), "left").select("fp", "least_doc", "n", F.coalesce("root", "fp").alias("root"))
+    rooted = scratch.keep(rooted)
     classes = rooted.groupBy("root").agg(F.min("least_doc").alias("component_id"))
-    of_print = rooted.join(classes, "root").select("fp", "component_id")
-    return prints.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of_print = scratch.keep(rooted.join(classes, "root").select("fp", "component_id", "n"))
+    joined = spread_join(prints, of_print, ["fp"], prints.count())
+    return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -101,6 +101,7 @@ def test_simhash_equals_brute_force(spark):
         for _ in range(rng.randrange(0, 4)):
             w[rng.randrange(len(w))] = rng.choice(vocabulary)
         rows.append((100 + k, " ".join(w)))
+    rows += [(400, " ".join(rng.choice(vocabulary) for _ in range(6000))), (401, "long " * 2000)]
     got = simhash.near_duplicates(docs(spark, rows)).collect()
     fps = [brute_fingerprint(t) for _, t in rows]
     near = [(i, j) for i in range(len(rows)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4]
@@ -112,13 +113,28 @@ def test_simhash_equals_brute_force(spark):
     assert sorted(((r.doc_id is None, r.doc_id or 0), r.fingerprint, r.component_id) for r in got) == want
 
 
-def test_long_lists_are_posted_again(spark):
+def test_every_four_positions_hold_a_triple():
+    assert len(simhash.TRIPLES) == 20
+    assert all(any(set(t) <= set(four) for t in simhash.TRIPLES) for four in simhash.FOURS)
+
+
+def test_tally_of_shared_bytes():
+    rng = np.random.default_rng(30)
+    a, b = rng.integers(0, 3, (500, 8)).astype(np.uint8), rng.integers(0, 3, (500, 8)).astype(np.uint8)
+    b[:50] |= 128
+    got = simhash.shared_bytes(a.view(np.int64).ravel(), b.view(np.int64).ravel())
+    assert got.tolist() == (a == b).sum(1).tolist()
+
+
+@pytest.mark.parametrize("most", [5, 20, 100_000])
+def test_long_lists_are_posted_again(spark, most):
     rng = random.Random(4)
     fps = {0x0123456789ABCDEF ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(0, 5))) for _ in range(150)}
+    fps |= {rng.getrandbits(64) & 0xFFFF00000000FFFF for _ in range(200)}
     signed = [x - 2**64 if x >= 2**63 else x for x in fps]
     frame = spark.createDataFrame([(x,) for x in signed], "fp long")
     want = component_of(signed, [(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 4])
-    links = simhash.fingerprint_links(Scratch(spark, "t"), frame, list_most=5).collect()
+    links = simhash.fingerprint_links(Scratch(spark, "t"), frame, list_most=most).collect()
     assert component_of(signed, [(r.a, r.b) for r in links]) == want
 
 
