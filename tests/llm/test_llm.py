@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -29,7 +30,7 @@ def odd(request, spark):
     """Tables that operators must take: nulls and short texts, no rows, clashing columns."""
     df = docs(spark, EDGE_ROWS if request.param != "empty" else [])
     if request.param == "extra":
-        for name in ("h", "p", "key", "fp", "root", "tag", "n_lines", "keep", "score", "ids", "bucket", "id", "a", "b", "row", "spans"):
+        for name in ("h", "p", "key", "fp", "root", "tag", "n_lines", "keep", "score", "ids", "bucket", "id", "a", "b", "row", "spans", "__place", "__doc", "__own", "__id", "place", "a`b", "number", "piece"):
             df = df.withColumn(name, F.lit("x"))
     return df
 
@@ -191,49 +192,104 @@ def test_representatives_take_odd_tables(odd):
 # -- 2 ---------------------------------------------------------------------
 
 
-def test_schedule_stays_within_a_block():
+def fluid(sources):
+    """What each source has had before every slot, by whole weights' shares of those with blocks left."""
+    had, out = [Fraction(0)] * len(sources), []
+    for _ in range(sum(n for n, _ in sources)):
+        out.append(list(had))
+        room = Fraction(1)
+        while room:
+            alive = [s for s, (n, _) in enumerate(sources) if had[s] < n]
+            total = sum(sources[s][1] for s in alive)
+            step = min([room] + [(sources[s][0] - had[s]) * total / sources[s][1] for s in alive])
+            for s in alive:
+                had[s] += step * sources[s][1] / total
+            room -= step
+    return [*out, [Fraction(n) for n, _ in sources]]
+
+
+def brute_schedule(sources, had):
+    """(slot, release, deadline) of each (source, block), every slot simulated."""
+    total = len(had) - 1
+    windows = {(s, k): (max(t for t in range(total + 1) if had[t][s] <= k), min(t for t in range(total + 1) if had[t][s] >= k + 1)) for s, (n, _) in enumerate(sources) for k in range(n)}
+    number, out = [0] * len(sources), {}
+    for t in range(total):
+        s = min((windows[s, k][1], s) for s, k in enumerate(number) if k < sources[s][0] and windows[s, k][0] <= t)[1]
+        out[s, number[s]] = (t, *windows[s, number[s]])
+        number[s] += 1
+    return out
+
+
+def spelled_out(sources):
+    out = {}
+    for run in mixing.schedule(sources):
+        for k in range(run.first, run.last):
+            q, r = divmod(k - run.first, len(run.slots))
+            assert (run.source, k) not in out
+            out[run.source, k] = tuple(x[r] + q * run.period for x in (run.slots, run.releases, run.deadlines))
+    return out
+
+
+def test_schedule_equals_simulation():
     rng = random.Random(6)
-    for _ in range(60):
-        weights = [rng.randrange(1, 40) for _ in range(rng.randrange(1, 9))]
-        total, taken = sum(weights), [0] * len(weights)
-        for t, s in enumerate(mixing.period(weights)):
-            assert taken[s] * total // weights[s] <= t < -(-(taken[s] + 1) * total // weights[s])
-            taken[s] += 1
-            assert all(abs(n * total - w * (t + 1)) < total for n, w in zip(taken, weights, strict=True))
-
-
-def brute_mix(counts, weights, size):
-    """Slots of all blocks by simulating every slot."""
-    left = {k: -(-n // size) for k, n in counts.items()}
-    number, slots, t = dict.fromkeys(left, 0), {}, 0
-    while any(left.values()):
-        active = sorted(k for k, n in left.items() if n)
-        total, start, done = sum(weights[k] for k in active), t, dict.fromkeys(active, 0)
-        while all(left[k] for k in active):
-            ready = [k for k in active if done[k] * total // weights[k] <= t - start]
-            k = min(ready, key=lambda k: (-(-(done[k] + 1) * total // weights[k]), active.index(k)))
-            slots[k, number[k]] = t
-            number[k] += 1
-            done[k] += 1
-            left[k] -= 1
-            t += 1
-    return slots
+    for _ in range(40):
+        sources = [(rng.randrange(0, 60), rng.randrange(1, 9)) for _ in range(rng.randrange(1, 7))]
+        assert spelled_out(sources) == brute_schedule(sources, fluid(sources))
+
+
+def test_no_source_is_ever_a_block_ahead_or_behind():
+    rng = random.Random(5)
+    repeated = 0
+    for _ in range(20):
+        sources = [(rng.randrange(0, 500), rng.randrange(1, 6)) for _ in range(rng.randrange(2, 6))]
+        repeated += sum(run.period > 0 for run in mixing.schedule(sources))
+        got, had, done = spelled_out(sources), fluid(sources), [0] * len(sources)
+        by_slot = {slot: (block, release, deadline) for block, (slot, release, deadline) in got.items()}
+        assert sorted(by_slot) == list(range(sum(n for n, _ in sources)))
+        for t, ((s, k), release, deadline) in sorted(by_slot.items()):
+            assert k == done[s] and release <= t < deadline
+            done[s] += 1
+            assert all(abs(x - y) < 1 for x, y in zip(done, had[t + 1], strict=True))
+    assert repeated > 20
+
+
+def test_schedule_of_many_blocks_is_short():
+    runs = list(mixing.schedule([(10**10, 300), (5 * 10**9, 250), (10**8, 200), (77_777, 100), (3, 60)]))
+    assert sum(run.last - run.first for run in runs) == 15 * 10**9 + 10**8 + 77_780
+    assert sum(len(run.slots) for run in runs) < 20_000
 
 
 def test_mix_equals_simulation(spark):
     rng = random.Random(7)
     rows = [(k, "x", rng.choice(["a", "a", "a", "b", "b", "c", None])) for k in range(700)]
+    rows += [(None, "x", "b")] * 30 + [(5, "x", "c")] * 2
     weights = {"a": 2, "b": 5, "c": 1, None: 3}
     got = mixing.mix(docs(spark, rows), weights, block_docs=7).collect()
     counts = defaultdict(int)
     for _, _, s in rows:
         counts["null" if s is None else f"={s}"] += 1
-    want = brute_mix(counts, {"null" if k is None else f"={k}": w for k, w in weights.items()}, 7)
+    sources = [(-(-counts[k] // 7), {"null" if s is None else f"={s}": w for s, w in weights.items()}[k]) for k in sorted(counts)]
+    want = brute_schedule(sources, fluid(sources))
     assert len(got) == len({r.mix_place for r in got}) == len(rows)
-    assert {("null" if r.source is None else f"={r.source}", r.mix_block): r.mix_slot for r in got} == want
+    keys = sorted(counts)
+    assert {(keys.index("null" if r.source is None else f"={r.source}"), r.mix_block): (r.mix_slot, r.mix_release, r.mix_deadline) for r in got} == want
+
+
+def test_mix_of_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PLAN_ROWS", 300)
+    df = spark.range(3000).selectExpr("id AS doc_id", "'x' AS text", "concat('site', id % 700) AS source")
+    got = mixing.mix(df, block_docs=2).collect()
+    assert len({r.mix_place for r in got}) == 3000
     assert all(r.mix_release <= r.mix_slot < r.mix_deadline for r in got)
 
 
+def test_mix_up_to_the_first_end_has_the_target_weights(spark):
+    df = docs(spark, [(k, "x", "ab"[k % 10 == 0]) for k in range(2000)])
+    got = mixing.mixed(df, {"a": 3, "b": 1}, block_docs=5, whole=False).groupBy("source").count().collect()
+    n = {r.source: r["count"] for r in got}
+    assert n["b"] == 200 and abs(n["a"] - 600) <= 10
+
+
 def test_mixed_keeps_rows_and_order(spark):
     df = docs(spark, [(k, "x", "ab"[k % 3 == 0]) for k in range(200)])
     place = {r.doc_id: r.mix_place for r in mixing.mix(df, block_docs=4).collect()}
@@ -242,8 +298,8 @@ def test_mixed_keeps_rows_and_order(spark):
 
 
 def test_mix_takes_odd_tables(odd):
-    assert mixing.mix(odd).count() == odd.select("doc_id", "source").distinct().count()
-    assert mixing.mixed(odd).count() == odd.count()
+    assert mixing.mix(odd).count() == odd.count()
+    assert mixing.mixed(odd).columns == odd.columns and mixing.mixed(odd).count() == odd.count()
     if odd.count():
         with pytest.raises(ValueError):
             mixing.mix(odd, {"other": 1})
