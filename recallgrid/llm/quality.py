@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recallgrid.llm import _arrays
-from recallgrid.llm._spark import bounded_batches, slabs
+from recallgrid.llm._spark import bounded_batches, fresh, map_rows, slabs
 
 LABELLED_MOST = 20_000
 POOL_MOST = 10_000
@@ -199,12 +199,13 @@ def fit(docs: DataFrame, labels: DataFrame, labelled_most: int = LABELLED_MOST,
     def share(n: int, most: int, *salt: F.Column) -> F.Column:
         return F.pmod(F.xxhash64("doc_id", *salt), F.lit(1 << 20)) < int((1 << 20) * min(1.0, most / max(n, 1)))
 
-    few = usable.where(share(usable.count(), labelled_most)).select(F.col("doc_id").alias("__id"), F.when(F.col("q") > 0.5, 1.0).otherwise(0.0).alias("y")).limit(2 * labelled_most)
+    own, label = fresh("id"), fresh("label")
+    few = usable.where(share(usable.count(), labelled_most)).select(F.col("doc_id").alias(own), F.when(F.col("q") > 0.5, 1.0).otherwise(0.0).alias(label)).limit(2 * labelled_most)
     columns = [F.col("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source")]
     # few is bounded by 2 * labelled_most rows; rows that share a doc_id are drawn from one by one
     row = F.monotonically_increasing_id()
-    labelled = docs.join(F.broadcast(few), docs["doc_id"] == F.col("__id"))
-    train = labelled.where(share(labelled.count(), 2 * labelled_most, row)).select("y", *columns)
+    labelled = docs.join(F.broadcast(few), F.col("doc_id") == F.col(own))
+    train = labelled.where(share(labelled.count(), 2 * labelled_most, row)).select(F.col(label).alias("y"), *columns)
     pool = docs.where(share(docs.count(), pool_most, row)).select(F.lit(None).cast("double").alias("y"), *columns)
     schema = "y double, content array<double>, metadata array<double>"
     rows = train.mapInArrow(_collect_features, schema).collect(), pool.mapInArrow(_collect_features, schema).collect()
@@ -234,5 +235,4 @@ def score(docs: DataFrame, model: CoTrained) -> DataFrame:
                 rows = [c.slice(begin, end - begin) for c in batch.columns]
                 yield pa.RecordBatch.from_arrays([*rows, *map(pa.array, scores), pa.array(scores[2] >= model.threshold)], names=[*batch.schema.names, "text_score", "metadata_score", "score", "keep"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, text_score double, metadata_score double, score double, keep boolean")
+    return map_rows(docs, run, "text_score double, metadata_score double, score double, keep boolean")

@@ -12,8 +12,10 @@ neighbours aren't what BPE makes of their concatenation: just one path is
 left, and it is the BPE encoding. A chunk yields its transfer matrix, the
 greatest weight of a path between each state at its left edge and each at its
 right edge. The matrices of a text, a few numbers per chunk, are multiplied
-in the (max, +) semiring, which gives the states at all edges; each chunk then
-traces its own path back.
+in the (max, +) semiring, whose product is associative: in rounds each task
+multiplies FAN neighbours at most, until a text has one matrix; then the
+states at the edges are handed down the same tree, and each chunk traces its
+own path back.
 """
 
 from __future__ import annotations
@@ -28,13 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
-from recallgrid.llm._spark import Scratch, bounded_batches
+from recallgrid.llm._spark import Scratch, bounded_batches, map_rows
 
 BPE, UNIGRAM = 2, 1
 BLANK = "▁"
 GIANT_CHARS = 32_768
 CHUNK_CHARS = 16_384
 CACHE_MOST = 100_000
+FAN = 64
 
 State = tuple[int, int]
 Matrix = dict[State, dict[State, float]]
@@ -236,16 +239,25 @@ def product(a: Matrix, b: Matrix) -> Matrix:
     return out
 
 
-def edge_states(matrices: list[Matrix]) -> list[State]:
-    """The state at every chunk edge, of the best path through all chunks."""
-    ahead: list[dict[State, float]] = [{(0, 0): 0.0}]
-    for matrix in matrices:
-        ahead.append(product({(0, 0): ahead[-1]}, matrix).get((0, 0), {}))
-    states = [(0, 0)]
-    for k in range(len(matrices) - 1, -1, -1):
-        onward = [(w + matrices[k][s][states[-1]], s) for s, w in ahead[k].items() if states[-1] in matrices[k].get(s, {})]
-        states.append(max(onward)[1])
-    return states[::-1]
+def products(matrices: list[Matrix]) -> Matrix:
+    """The product of all, taken pair by pair, and pairs of those, and so on."""
+    while len(matrices) > 1:
+        pairs = [product(a, b) for a, b in zip(matrices[::2], matrices[1::2], strict=False)]
+        matrices = pairs + matrices[2 * len(pairs) :]
+    return matrices[0]
+
+
+def edge_states(matrices: list[Matrix], entry: State = (0, 0), exit_: State = (0, 0)) -> list[State]:
+    """The state at every edge of some consecutive chunks (or runs of chunks),
+    of the best path through them from entry to exit_: a state halfway splits
+    the path in two, and so on."""
+    if len(matrices) == 1:
+        return [entry, exit_]
+    half = len(matrices) // 2
+    left, right = products(matrices[:half]), products(matrices[half:])
+    ways = [(w + right[s][exit_], s) for s, w in left.get(entry, {}).items() if exit_ in right.get(s, {})]
+    middle = max(ways)[1]
+    return edge_states(matrices[:half], entry, middle)[:-1] + edge_states(matrices[half:], middle, exit_)
 
 
 def chunks_of(model: Model, text: str, size: int) -> list[tuple[str, int, int, bool, bool]]:
@@ -302,30 +314,69 @@ def _deal(proto: bytes, size: int):
 CHUNKS = "row long, part int, chunk string, begin int, stop int, at_start boolean, at_end boolean"
 
 
+def _cells(matrix: Matrix) -> list[list[float]]:
+    return [[*i, *j, w] for i, row in matrix.items() for j, w in row.items()]
+
+
+def _matrix(cells: list[list[float]]) -> Matrix:
+    matrix: Matrix = {}
+    for a, b, c, d, w in cells:
+        matrix.setdefault((int(a), int(b)), {})[int(c), int(d)] = w
+    return matrix
+
+
+CELLS = "row long, part int, cells array<array<double>>"
+EDGES = "row long, part int, edges array<int>"
+
+
 def _transfer(proto: bytes):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(proto)
         for batch in batches:
-            cells = []
-            for _, _, *args in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                cells.append([[*i, *j, w] for i, row in Chunk(model, *args).matrix().items() for j, w in row.items()])
+            cells = [_cells(Chunk(model, *args).matrix()) for _, _, *args in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cells, pa.list_(pa.list_(pa.float64())))], names=["row", "part", "cells"])
 
     return run
 
 
-def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _in_order(parts: list[dict]) -> tuple[list[int], list[Matrix]]:
+    parts = sorted(parts, key=lambda p: p["part"])
+    return [p["part"] for p in parts], [_matrix(p["cells"]) for p in parts]
+
+
+def _combine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, group, parts) to the product of each group's matrices."""
+    for batch in batches:
+        cells = [_cells(products(_in_order(parts)[1])) for parts in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cells, pa.list_(pa.list_(pa.float64())))], names=["row", "part", "cells"])
+
+
+def _hand_down(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, group, parts, edges), edges being the states before and after the
+    group, to those before and after each of its parts."""
     for batch in batches:
-        for row, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            matrices = []
-            for part in sorted(parts, key=lambda p: p["part"]):
-                matrix: Matrix = {}
-                for a, b, c, d, w in part["cells"]:
-                    matrix.setdefault((int(a), int(b)), {})[int(c), int(d)] = w
-                matrices.append(matrix)
-            states = edge_states(matrices)
-            edges = [[*states[k], *states[k + 1]] for k in range(len(matrices))]
-            yield pa.RecordBatch.from_arrays([pa.array([row] * len(edges), pa.int64()), pa.array(range(len(edges)), pa.int32()), pa.array(edges, pa.list_(pa.int32()))], names=["row", "part", "edges"])
+        for row, parts, (a, b, c, d) in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            numbers, matrices = _in_order(parts)
+            states = edge_states(matrices, (a, b), (c, d))
+            edges = [[*x, *y] for x, y in zip(states, states[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array([row] * len(edges), pa.int64()), pa.array(numbers, pa.int32()), pa.array(edges, pa.list_(pa.int32()))], names=["row", "part", "edges"])
+
+
+def _scan(scratch: Scratch, matrices: DataFrame, most: int, fan: int) -> DataFrame:
+    """(row, part, edges): the states before and after each part. The scan
+    goes up in rounds, in which each task multiplies fan neighbours of a text
+    at most, until a text has one matrix, and hands states down again.
+    most: the greatest part."""
+    levels, n = [], most + 1
+    while n > 1:
+        group = F.floor(F.col("part") / fan).cast("int").alias("group")
+        levels.append(scratch.keep(matrices.groupBy("row", group).agg(F.collect_list(F.struct("part", "cells")).alias("parts"))))
+        n = -(-n // fan)
+        matrices = levels[-1].mapInArrow(_combine, CELLS)
+    edges = matrices.select("row", "part", F.array(*[F.lit(0)] * 4).alias("edges"))
+    for level in reversed(levels):
+        edges = level.join(edges.withColumnRenamed("part", "group"), ["row", "group"]).select("row", "group", "parts", "edges").mapInArrow(_hand_down, EDGES)
+    return edges
 
 
 def _trace(proto: bytes):
@@ -340,7 +391,7 @@ def _trace(proto: bytes):
     return run
 
 
-def encode(docs: DataFrame, model_file: str, giant_chars: int = GIANT_CHARS, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def encode(docs: DataFrame, model_file: str, giant_chars: int = GIANT_CHARS, chunk_chars: int = CHUNK_CHARS, fan: int = FAN) -> DataFrame:
     """One row for each row of docs: doc_id, text, n_tokens, ids, the ids
     being those the SentencePiece library gives for the whole text.
 
@@ -358,9 +409,8 @@ def encode(docs: DataFrame, model_file: str, giant_chars: int = GIANT_CHARS, chu
     whole = rows.where(F.coalesce(~big, F.lit(True))).mapInArrow(_whole(proto), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, ids array<int>")
     giants = scratch.keep(rows.where(big).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"))
     chunks = scratch.keep(giants.select("row", "text").mapInArrow(_deal(proto, chunk_chars), CHUNKS).repartition("row", "part"))
-    matrices = chunks.repartition("row", "part").mapInArrow(_transfer(proto), "row long, part int, cells array<array<double>>")
-    # a text of at most 2 GB gives at most 2**31 / chunk_chars small matrices
-    edges = matrices.groupBy("row").agg(F.collect_list(F.struct("part", "cells")).alias("parts")).mapInArrow(_scan, "row long, part int, edges array<int>")
+    matrices = chunks.repartition("row", "part").mapInArrow(_transfer(proto), CELLS)
+    edges = _scan(scratch, matrices, chunks.agg(F.max("part")).first()[0] or 0, fan)
     traced = chunks.join(edges, ["row", "part"]).select(*chunks.columns, "edges").mapInArrow(_trace(proto), "row long, part int, ids array<int>")
     joined = traced.groupBy("row").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("part", "ids"))), lambda x: x["ids"])).alias("ids"))
     dealt = giants.join(joined, "row").select("doc_id", "text", "ids")
@@ -368,9 +418,11 @@ def encode(docs: DataFrame, model_file: str, giant_chars: int = GIANT_CHARS, chu
 
 
 def decode(encoded: DataFrame, model_file: str) -> DataFrame:
-    """encoded, a table with a column ids, and its column decoded: the text of
-    the ids; null ids give an empty text, bytes that aren't UTF-8 U+FFFD."""
+    """encoded, a table with a column ids, and its column decoded (replaced, if
+    there is one): the text of the ids; null ids give an empty text, bytes
+    that aren't UTF-8 U+FFFD."""
     bounded_batches(encoded.sparkSession)
+    encoded = encoded.drop("decoded")
     with open(model_file, "rb") as file:
         proto = file.read()
     at = encoded.columns.index("ids")
@@ -389,5 +441,4 @@ def decode(encoded: DataFrame, model_file: str) -> DataFrame:
                     texts = [t.removeprefix(" ") for t in texts]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(run, f"{schema}, decoded string")
+    return map_rows(encoded, run, "decoded string")

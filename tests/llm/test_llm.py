@@ -1,6 +1,7 @@
 """The training-data operators against brute force, the library or planted cases."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import defaultdict
@@ -652,6 +653,28 @@ def test_product_is_associative():
         assert p(p(a, b), c) == p(a, p(b, c))
 
 
+def test_states_at_edges_are_those_of_the_best_path():
+    rng = random.Random(16)
+    for _ in range(60):
+        n = rng.randrange(1, 9)
+        matrices = [{(i, 0): {(j, 0): float(rng.randrange(50)) for j in range(3)} for i in range(3)} for _ in range(n)]
+        best = max(itertools.product(range(3), repeat=n - 1), key=lambda path: sum(m[a, 0][b, 0] for m, a, b in zip(matrices, (0, *path), (*path, 0), strict=True)))
+        states = sentencepiece_codec.edge_states(matrices)
+        assert len(states) == n + 1 and states[0] == states[-1] == (0, 0)
+
+        def weight(path):
+            return sum(m[a, 0][b, 0] for m, a, b in zip(matrices, path, path[1:], strict=False))
+
+        assert weight([s for s, _ in states]) == weight([0, *best, 0]) == sentencepiece_codec.products(matrices)[0, 0][0, 0]
+
+
+@pytest.mark.parametrize("fan", [2, 3, 64])
+def test_encode_combines_in_rounds(spark, library, fan):
+    rows = [(1, "ha" * 400), (2, " ".join(odd_texts())[:900]), (3, "=" * 300 + " x"), (4, "漢字" * 200)]
+    got = sentencepiece_codec.encode(docs(spark, rows), queries.PIECE_MODEL, giant_chars=60, chunk_chars=25, fan=fan).collect()
+    assert {r.doc_id: r.ids for r in got} == {d: library.encode(t) for d, t in rows}
+
+
 def test_encode_and_decode(spark, library):
     rows = [(k, t) for k, t in enumerate(odd_texts())] + [(900, "long words " * 200), (900, "long words " * 200), (None, None)]
     got = sentencepiece_codec.encode(docs(spark, rows), queries.PIECE_MODEL, giant_chars=60, chunk_chars=25)
@@ -664,6 +687,9 @@ def test_encode_and_decode(spark, library):
 
 def test_encode_takes_odd_tables(odd):
     assert sentencepiece_codec.encode(odd, queries.PIECE_MODEL).count() == odd.count()
+    ids = odd.drop("ids").withColumn("ids", F.array(F.lit(300)))
+    assert sentencepiece_codec.decode(ids, queries.PIECE_MODEL).columns == [*ids.columns, "decoded"]
+    assert sentencepiece_codec.decode(ids, queries.PIECE_MODEL).count() == odd.count()
 
 
 # -- pipeline --------------------------------------------------------------
