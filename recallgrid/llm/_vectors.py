@@ -38,6 +38,13 @@ def by_dimension(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def scaled(matrix: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, so that their largest component is between
+    1/2 and 1: squares neither overflow nor vanish, and cosines stay the same
+    to the last bit."""
+    return np.ldexp(matrix, -np.frexp(np.abs(matrix).max(axis=1, initial=0.0))[1][:, None])
+
+
 def kmeans(points: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
     """At most k centres of the points."""
     rng = np.random.default_rng(seed)

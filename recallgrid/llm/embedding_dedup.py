@@ -7,8 +7,10 @@ of a bound on the way there: for each half the distance to the plane between
 its own codeword and the other one, squared and summed (a multi-sequence over
 both halves' sorted distances). It stops at a bound calibrated on vectors
 turned away at random to exactly the least cosine, such that the target recall
-of these have their cell visited. In the cells visited all pairs are verified
-by their cosine in double precision.
+of these have their cell visited. Of two cells only the vectors of the one
+that a scramble of cells puts first visit the other, so that each pair meets
+once. In the cells visited all pairs are verified by their cosine in double
+precision.
 
 Vectors alike in all components are one, with a count. A cell is dealt out in
 blocks, so that no task holds more than BLOCK residents against BLOCK visitors;
@@ -26,21 +28,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recallgrid.llm import _arrays
-from recallgrid.llm._spark import Scratch, components
-from recallgrid.llm._vectors import by_dimension, kmeans, sample, usable
+from recallgrid.llm._spark import Scratch, components, spread_join
+from recallgrid.llm._vectors import by_dimension, kmeans, sample, scaled, usable
 
 LEAST_COSINE = 0.95
 TARGET_RECALL = 0.999
 FIT_MOST = 20_000
-CELL_VECTORS = 100
-BLOCK = 1024
+CELL_VECTORS = 1000
+BLOCK = 4096
+#: A codeword for each half is fitted on this many vectors at least.
+CODEWORD_VECTORS = 10
+
+
+def unit_rows(matrix: np.ndarray) -> np.ndarray:
+    matrix = scaled(matrix)
+    return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
 
 
 class Grid:
     """The codebooks of one dimension and the bound up to which cells are visited."""
 
     def __init__(self, points: np.ndarray, k: int, cosine: float, recall: float, seed: int = 11):
-        unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+        unit = unit_rows(points)
         self.half = unit.shape[1] // 2
         self.books = [kmeans(unit[:, : self.half], k), kmeans(unit[:, self.half :], k)]
         rng = np.random.default_rng(seed)
@@ -98,9 +107,14 @@ class Grid:
         return a * len(self.books[1]) + b
 
 
+def _rank(cells: np.ndarray) -> np.ndarray:
+    return _arrays.mix(cells.astype(np.uint64))
+
+
 def _place(grids: dict[int, Grid]):
-    """(cell, visitor, uid, copies, home, dim, vector): a resident's row and a
-    visitor's for each cell it visits. A dimension without a grid has one cell."""
+    """(cell, visitor, uid, copies, dim, vector): a resident's row, and a
+    visitor's for each other cell it visits that ranks after its own. A
+    dimension without a grid has one cell."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,54 +122,51 @@ def _place(grids: dict[int, Grid]):
                 part = batch.slice(i, 512)
                 for rows, matrix in by_dimension(part.column(2)):
                     d = matrix.shape[1]
-                    unit = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+                    home, at, cells = np.zeros(len(rows), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
                     if d in grids:
+                        unit = unit_rows(matrix)
                         home = grids[d].cell(unit)
                         at, cells = grids[d].visits(unit)
-                    else:
-                        home, at, cells = np.zeros(len(rows), np.int64), np.arange(len(rows)), np.zeros(len(rows), np.int64)
+                        later = _rank(cells) > _rank(home[at])
+                        at, cells = at[later], cells[later]
                     who = np.concatenate([np.arange(len(rows)), at])
                     taken = part.take(pa.array(rows[who]))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate([home, cells])), pa.array(np.arange(len(who)) >= len(rows)), taken.column(0), taken.column(1), pa.array(home[who]), pa.array(np.full(len(who), d, np.int32)), taken.column(2)],
-                        names=["cell", "visitor", "uid", "copies", "home", "dim", "vector"],
+                        [pa.array(np.concatenate([home, cells])), pa.array(np.arange(len(who)) >= len(rows)), taken.column(0), taken.column(1), pa.array(np.full(len(who), d, np.int32)), taken.column(2)],
+                        names=["cell", "visitor", "uid", "copies", "dim", "vector"],
                     )
 
     return run
 
 
-def _verify(grids: dict[int, Grid], least: float):
+def _verify(least: float):
     """Reads rows sorted by block (dim, cell, r, v); gives (a, null, n), links
     to add to a, and (a, b, 0), a spanning forest of a block's links."""
 
-    def block(dim: int, cell: int, visitor: np.ndarray, uid: np.ndarray, copies: np.ndarray, home: np.ndarray, matrix: np.ndarray) -> Iterator[pa.RecordBatch]:
-        res, vis = np.flatnonzero(~visitor), np.flatnonzero(visitor)
-        if not res.size or not vis.size:
-            return
+    def block(v: int, visitor: np.ndarray, uid: np.ndarray, copies: np.ndarray, matrix: np.ndarray) -> Iterator[pa.RecordBatch]:
+        matrix = scaled(matrix)
         norm = np.sqrt((matrix**2).sum(1))
-        for i in range(0, len(vis), 256):
-            some = vis[i : i + 256]
-            cosine = (matrix[some] @ matrix[res].T) / (norm[some][:, None] * norm[res][None])
-            a, b = np.nonzero((cosine >= least) & (uid[some][:, None] != uid[res][None]))
-            if not a.size:
-                continue
-            a, b = some[a], res[b]
-            # the other way round the pair turns up too, if the resident visits the visitor's cell
-            one_way = home[a] != cell
-            if one_way.any() and dim in grids:
-                grid, width = grids[dim], len(grids[dim].books[1])
-                who, at = np.unique(b[one_way], return_inverse=True)
-                ways = grid.ways(matrix[who] / norm[who][:, None])
-                there = home[a[one_way]]
-                back = ways[0][at, there // width] ** 2 + ways[1][at, there % width] ** 2 <= grid.bound
-                one_way[np.flatnonzero(one_way)[back]] = False
-            gain = np.bincount(a, weights=copies[b], minlength=len(uid)) + np.bincount(b[one_way], weights=copies[a[one_way]], minlength=len(uid))
-            got = np.flatnonzero(gain)
-            node, root = _arrays.forest(uid[a], uid[b])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([uid[got], node])), pa.array(np.concatenate([np.zeros(len(got), np.int64), root]), mask=np.arange(len(got) + len(node)) < len(got)), pa.array(np.concatenate([gain[got].astype(np.int64), np.zeros(len(node), np.int64)]))],
-                names=["a", "b", "n"],
-            )
+        res, vis = np.flatnonzero(~visitor), np.flatnonzero(visitor)
+        # residents meet among themselves in their first block
+        for rows, own in ((vis, False), (res, True)) if v == 0 else ((vis, False),):
+            for i in range(0, len(rows), 256):
+                some = rows[i : i + 256]
+                others = res[i:] if own else res
+                cosine = (matrix[some] @ matrix[others].T) / (norm[some][:, None] * norm[others][None])
+                near = cosine >= least
+                if own:
+                    near &= some[:, None] < others[None]
+                a, b = np.nonzero(near)
+                if not a.size:
+                    continue
+                a, b = some[a], others[b]
+                gain = np.bincount(a, weights=copies[b], minlength=len(uid)) + np.bincount(b, weights=copies[a], minlength=len(uid))
+                got = np.flatnonzero(gain)
+                node, root = _arrays.forest(uid[a], uid[b])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([uid[got], node])), pa.array(np.concatenate([np.zeros(len(got), np.int64), root]), mask=np.arange(len(got) + len(node)) < len(got)), pa.array(np.concatenate([gain[got].astype(np.int64), np.zeros(len(node), np.int64)]))],
+                    names=["a", "b", "n"],
+                )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -183,11 +194,11 @@ def _verify(grids: dict[int, Grid], least: float):
         stops = np.append(new[1:], len(key))
         for start, stop in list(zip(new, stops, strict=True))[: len(new) if final else len(new) - 1]:
             part = table.slice(start, stop - start).combine_chunks()
-            columns = [part.column(k).to_numpy() for k in ("visitor", "uid", "copies", "home")]
+            columns = [part.column(k).to_numpy() for k in ("visitor", "uid", "copies")]
             vectors = part.column("vector").combine_chunks()
             vectors = vectors.chunk(0) if isinstance(vectors, pa.ChunkedArray) else vectors
             matrix = vectors.flatten().to_numpy().astype(np.float64).reshape(stop - start, -1)
-            yield from block(int(key[start, 0]), int(key[start, 1]), *columns, matrix)
+            yield from block(int(key[start, 3]), *columns, matrix)
 
     return run
 
@@ -212,25 +223,32 @@ def near_duplicates(table: DataFrame, least_cosine: float = LEAST_COSINE, recall
     points: dict[int, list[np.ndarray]] = {}
     for x in sample(distinct, "embedding", FIT_MOST):
         points.setdefault(len(x), []).append(x)
-    n = distinct.count()
-    k = min(256, max(2, math.ceil(math.sqrt(n / CELL_VECTORS))))
+    # the codebooks grow with the table as far as the sample can fit them
+    k = max(2, min(math.ceil(math.sqrt(distinct.count() / CELL_VECTORS)), FIT_MOST // CODEWORD_VECTORS))
     grids = {d: Grid(np.stack(xs), k, least_cosine, recall) for d, xs in points.items() if d > 1}
-    placed = scratch.keep(distinct.select("uid", "copies", "embedding").mapInArrow(_place(grids), "cell long, visitor boolean, uid long, copies long, home long, dim int, vector array<float>" if dict(table.dtypes)["embedding"] == "array<float>" else "cell long, visitor boolean, uid long, copies long, home long, dim int, vector array<double>"))
-    # at most 256 * 256 cells for each dimension in the sample
-    cells = placed.groupBy("dim", "cell").agg(F.count_if("visitor").alias("vis"), F.count_if(~F.col("visitor")).alias("res"))
-    blocks = cells.where("vis > 0 and res > 0").select("dim", "cell", F.ceil(F.col("res") / block).cast("int").alias("rs"), F.ceil(F.col("vis") / block).cast("int").alias("vs"))
-    own = F.pmod(F.xxhash64("uid"), F.when(F.col("visitor"), F.col("vs")).otherwise(F.col("rs"))).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.when(F.col("visitor"), F.col("rs")).otherwise(F.col("vs")) - 1))
-    dealt = placed.join(blocks, ["dim", "cell"]).withColumn("own", own).withColumn("other", other)
-    dealt = dealt.select("dim", "cell", F.when(F.col("visitor"), F.col("other")).otherwise(F.col("own")).alias("r"), F.when(F.col("visitor"), F.col("own")).otherwise(F.col("other")).alias("v"), "visitor", "uid", "copies", "home", "vector")
+    kind = dict(distinct.dtypes)["embedding"]
+    placed = scratch.keep(distinct.select("uid", "copies", "embedding").mapInArrow(_place(grids), f"cell long, visitor boolean, uid long, copies long, dim int, vector {kind}"))
+    # k * k cells at most for each dimension in the sample
+    cells = placed.groupBy("dim", "cell").agg(F.count_if("visitor").alias("vis"), F.count_if(~F.col("visitor")).alias("res")).where("res > 0 and res + vis > 1")
+    blocks = cells.select("dim", "cell", F.ceil(F.col("res") / block).cast("int").alias("rs"), F.greatest(F.ceil(F.col("vis") / block), F.lit(1)).cast("int").alias("vs"))
+    rs, vs, own, visitor = (F.col(c) for c in ("rs", "vs", "own", "visitor"))
+    # block (r, v): residents r, and visitors v or, from vs on, the residents v - vs of a later block
+    other = F.when(F.col("i") - vs < own, F.col("i") - vs).otherwise(F.col("i") - vs + 1)
+    dealt = placed.join(blocks, ["dim", "cell"]).withColumn("own", F.pmod(F.xxhash64("uid"), F.when(visitor, vs).otherwise(rs)).cast("int"))
+    dealt = dealt.withColumn("i", F.explode(F.sequence(F.lit(0), F.when(visitor, rs).otherwise(rs + vs - 1) - 1))).withColumn("other", other)
+    as_visitor = ~visitor & (F.col("i") >= vs) & (F.col("other") < own)
+    r = F.when(visitor, F.col("i")).when(as_visitor, F.col("other")).otherwise(own)
+    v = F.when(visitor, own).when(F.col("i") < vs, F.col("i")).when(as_visitor, vs + own).otherwise(vs + F.col("other"))
+    dealt = dealt.select("dim", "cell", r.alias("r"), v.alias("v"), (visitor | as_visitor).alias("visitor"), "uid", "copies", "vector")
     ordered = dealt.repartition("dim", "cell", "r", "v").sortWithinPartitions("dim", "cell", "r", "v")
-    found = scratch.keep(ordered.mapInArrow(_verify(grids, least_cosine), "a long, b long, n long"))
+    found = scratch.keep(ordered.mapInArrow(_verify(least_cosine), "a long, b long, n long"))
+    scratch.drop(placed)
     links = found.where("b is null").groupBy(F.col("a").alias("uid")).agg(F.sum("n").alias("links"))
     star = components(scratch, found.where("b is not null").select("a", "b")).withColumnRenamed("id", "uid")
     rooted = distinct.join(star, "uid", "left").withColumn("root", F.coalesce("root", "uid")).join(links, "uid", "left")
-    rooted = scratch.keep(rooted.select("root", "embedding", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    rooted = scratch.keep(rooted.select("root", "embedding", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n")))
     of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_vector = rooted.join(of_root, "root").select("embedding", "n_links", "component_id")
-    linked = rows.where("ok").join(of_vector, "embedding").select("vec_id", "n_links", "component_id")
+    of_vector = scratch.keep(rooted.join(of_root, "root").select("embedding", "n_links", "component_id", "n"))
+    linked = spread_join(rows.where("ok").select("vec_id", "embedding"), of_vector, ["embedding"], table.count()).select("vec_id", "n_links", "component_id")
     alone = rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))

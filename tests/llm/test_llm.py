@@ -484,6 +484,50 @@ def test_nearest_neighbours_recall(spark):
     assert hits / total >= 0.95
 
 
+def test_links_of_extreme_magnitudes(spark):
+    rows = [(1, [1e-200, 1e-200, 0.0]), (2, [1e-200, 1.01e-200, 0.0]), (3, [1e200, 1e200, 0.0]), (4, [1.0, 1.0, 0.0]), (5, [5e-324, 0.0, 0.0]), (6, [1.7e308, 0.0, 0.0]), (7, [0.0, 0.0, 1.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (1, 5), 6: (1, 5), 7: (0, 7)}
+
+
+def test_links_in_a_grid_of_many_cells(spark, monkeypatch):
+    """10,000 vectors in a grid of 10 x 10 cells, each planted link found."""
+    monkeypatch.setattr(embedding_dedup, "CELL_VECTORS", 100)
+    rng = np.random.default_rng(17)
+    base = rng.normal(size=(5000, 32))
+    near = base + 0.2 * rng.normal(size=base.shape) * np.linalg.norm(base, axis=1, keepdims=True) / np.sqrt(32)
+    both = np.concatenate([base, near])
+    unit = both / np.linalg.norm(both, axis=1, keepdims=True)
+    cosine = (unit[:5000] * unit[5000:]).sum(1)
+    links = {(a, b) for i in range(0, 10_000, 500) for a, b in zip(*(x.tolist() for x in np.nonzero(unit[i : i + 500] @ unit.T >= 0.95)), strict=True) for a in (a + i,) if a < b}
+    count = np.bincount([x for link in links for x in link], minlength=10_000)
+    frame = spark.createDataFrame([(k, x) for k, x in enumerate(both.tolist())], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(frame, block=60).collect()}
+    found = sum(got[k] for k in got)
+    assert (cosine >= 0.95).sum() > 4000 and all(got[k] <= count[k] for k in got)
+    assert found >= 0.998 * count.sum()
+
+
+def test_neighbours_with_repeated_ids(spark):
+    rng = np.random.default_rng(18)
+    m = rng.normal(size=(40, 8))
+    rows = [(k, x) for k, x in enumerate(m.tolist())] + [(1, (m[0] + 0.001 * k).tolist()) for k in range(15)] + [(2, m[2].tolist())] * 15
+    got = permutation_index.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+    far = {}
+    for k, x in rows:
+        if k:
+            far[k] = min(far.get(k, np.inf), float(np.sqrt(((np.array(x) - m[0]) ** 2).sum())))
+    want = sorted(far, key=lambda k: (far[k], k))[:10]
+    assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"])] == want
+    assert all(r.score == far[r.vec_id] for r in got)
+
+
+def test_neighbours_of_extreme_magnitudes(spark):
+    rows = [(0, [1e200, 0.0]), (1, [1.5e200, 0.0]), (2, [1e200, 2e200]), (3, [1e-200, 0.0]), (4, [-1.7e308, 0.0])]
+    got = permutation_index.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+    assert [(r.vec_id, pytest.approx(r.score, rel=1e-12)) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 0.5e200), (3, 1e200), (2, 2e200), (4, 1.7e308)]
+
+
 def test_vector_operators_take_empty_tables(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embedding_dedup.near_duplicates(none).count() == 0 and permutation_index.nearest_neighbours(none, F.col("vec_id") % 100 == 0).count() == 0
