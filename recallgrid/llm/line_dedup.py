@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recallgrid.llm._spark import Scratch, fresh, map_rows, once
+from recallgrid.llm._spark import Scratch, fresh, map_rows, once, spread_join
 
 WINDOW = 3
 
@@ -68,8 +68,8 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     occurrence is that in the smallest doc_id (null: the largest of all),
     then the earliest place in it; places in the same document count as later
     ones, too. Rows alike in doc_id and text are one document; of rows alike
-    in doc_id alone the one whose text has the smaller hash comes first. An
-    empty table gives no rows.
+    in doc_id alone the one whose text has the smaller hash comes first.
+    Windows are told apart by 96 bits of hash. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     docs = docs.drop("n_lines", "n_removed")
@@ -79,8 +79,8 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     windows = scratch.keep(found.select("w.h", "w.g", F.col("doc_id").alias("doc"), "tag", "p"))
     place = F.struct(F.isnull("doc"), "doc", "tag", "p")
     repeated = windows.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    repeated = scratch.keep(repeated.select("h", "g", "first"))
-    later = windows.join(repeated, ["h", "g"]).where(place > F.col("first"))
+    repeated = scratch.keep(repeated.select("h", "g", "first", "n"))
+    later = spread_join(windows, repeated, ["h", "g"], windows.count()).where(place > F.col("first"))
     own, own_tag, places = fresh("doc"), fresh("tag"), fresh("cuts")
     cuts = scratch.keep(later.groupBy("doc", "tag").agg(F.collect_list("p").alias(places)).withColumnsRenamed({"doc": own, "tag": own_tag}))
     scratch.drop(windows, repeated)

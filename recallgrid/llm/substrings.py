@@ -1,25 +1,26 @@
 """Removal of repeated passages, found by recompression.
 
-Each round names the runs and pairs of the symbols that the round before left
+Each level names the runs and pairs of the symbols that the level before left
 (words at first). A short run of equal symbols becomes one symbol; of the
-others, a symbol whose name falls on the left side this round and one on the
-right side become one if they are adjacent. Names are hashes of what they
-name, so that equal substrings get equal interior symbols in all documents
-without any exchange. A round moves what it decides by 2^(round+1) words at
-most, so in two equal windows all symbols that start at least MARGIN =
-2 + 4 + 8 words from the ends are the same.
-
-A window is represented by that one of these interior symbols whose name in
-context (the MARGIN words on both sides of its start) is least. Spark counts
-these shared high-level symbols over all documents. Only windows whose symbol
-is in two documents or more are then verified, by a 96-bit hash of all their
-words; of those in two documents or more, every window outside its smallest
-document goes.
+others, a symbol whose name falls on the left side on this level and one on
+the right side become one if they are adjacent. A name is a hash of what it
+names, so it stands for the same words in all documents. With each symbol goes
+the range of words that its making looked at. Equal windows have the same
+symbols wherever that range lies inside them: their interior symbols.
+
+The work goes in Spark rounds, each up to a higher level. A round represents
+every window that is left by its longest interior symbol (of equally long ones
+that of the least name) and counts over all documents which documents hold
+these symbols. Windows whose symbol is in one document alone are unique and
+leave; the others go on to the next round. The windows that share a symbol
+after the last are verified by a 96-bit hash of all their words; of those in
+two documents or more, every window outside its smallest document goes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,43 +28,122 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recallgrid.llm import _arrays
-from recallgrid.llm._spark import Scratch, slabs
+from recallgrid.llm._spark import Scratch, slabs, spread_join
 
 WINDOW = 50
-ROUNDS = 3
-MARGIN = 2 ** (ROUNDS + 1) - 2
+#: The highest level of each Spark round.
+LEVELS = (4, 7)
+#: Symbols that have come up to this level, or are made on a higher one, represent windows; else words do.
+LEAST_LEVEL = 3
 U64 = np.uint64
+FAR = np.int64(1) << 40
+
+
+class Symbols(NamedTuple):
+    """name; the words start..start+span-1 that it stands for; lo..hi-1, those
+    that its making looked at."""
+
+    name: np.ndarray
+    start: np.ndarray
+    span: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+
 
+def _around(values: np.ndarray, by: int, edge: int) -> np.ndarray:
+    """values[k + by], edge beyond the ends."""
+    out = np.full(len(values), edge, dtype=values.dtype)
+    if by > 0:
+        out[:-by] = values[by:]
+    else:
+        out[-by:] = values[:by]
+    return out
 
-def symbol_starts(words: np.ndarray, head: np.ndarray) -> np.ndarray:
-    """True where a symbol of the last round starts. words: hashes of words;
-    head: True at the first word of each text."""
-    name, span, first = words, np.ones(len(words), np.int64), head
-    with np.errstate(over="ignore"):
-        for level in range(ROUNDS):
-            same = np.zeros(len(name), bool)  # as the one before
-            same[1:] = (name[1:] == name[:-1]) & ~first[1:]
-            repeated = same.copy()
-            repeated[:-1] |= same[1:]
-            run = np.flatnonzero(~same)
-            run_span, run_len = np.add.reduceat(span, run), np.diff(run, append=len(name))
-            short = (run_len > 1) & (run_span <= 2 ** (level + 1))
-            right = (_arrays.mix(name ^ U64(level + 1)) & U64(1)).astype(bool)
-            pair = np.zeros(len(name), bool)  # joined with the one after
-            pair[:-1] = ~repeated[:-1] & ~repeated[1:] & ~right[:-1] & right[1:] & ~first[1:]
-            gone = np.zeros(len(name), bool)
-            gone[1:] = pair[:-1]
-            gone |= same & np.repeat(short, run_len)
-            left = np.flatnonzero(pair)
-            merged, length = name.copy(), span.copy()
+
+def compress(words: np.ndarray, head: np.ndarray, levels: int) -> Iterator[tuple[int, Symbols, np.ndarray]]:
+    """Of each level from 1 on the symbols, and which of them are new. words:
+    hashes of words; head: True at the first word of each text. What looks
+    beyond a text's ends, or at a run too long to be named, has a lo or hi far
+    off."""
+    n = len(words)
+    place = np.arange(n, dtype=np.int64)
+    name, span, first = words, np.ones(n, np.int64), head
+    start, lo, hi = place, place, place + 1
+    for level in range(1, levels + 1):
+        if not len(name):
+            return
+        last = _around(first, 1, True)
+        same = np.zeros(len(name), bool)  # as the one before
+        same[1:] = (name[1:] == name[:-1]) & ~first[1:]
+        repeated = same | _around(same, 1, False)
+        run = np.flatnonzero(~same)
+        run_len = np.diff(run, append=len(name))
+        short = (run_len > 1) & (run_len * span[run] <= 2**level)
+        right = (_arrays.mix(name ^ U64(level)) & U64(1)).astype(bool)
+        pair = np.zeros(len(name), bool)  # joined with the one after
+        pair[:-1] = ~repeated[:-1] & ~repeated[1:] & ~right[:-1] & right[1:] & ~first[1:]
+        # the ranges that a look at the neighbours needs
+        lo_before = np.where(first, -FAR, _around(lo, -1, -FAR))
+        hi_after = np.where(last, FAR, _around(hi, 1, FAR))
+        near_lo, near_hi = np.minimum(lo, lo_before), np.maximum(hi, hi_after)
+        new_lo, new_hi = np.minimum(near_lo, _around(near_lo, 1, FAR)), np.maximum(near_hi, _around(near_hi, 1, -FAR))
+        # left alone though the sides fit: the neighbour is in a run, which its own neighbour tells
+        fits = np.zeros(len(name), bool)
+        fits[:-1] = ~right[:-1] & right[1:] & ~first[1:]
+        fitted = np.zeros(len(name), bool)
+        fitted[1:] = fits[:-1]
+        own_lo = np.where(fitted, np.minimum(near_lo, _around(near_lo, -1, -FAR)), near_lo)
+        own_hi = np.where(fits, np.maximum(near_hi, _around(near_hi, 1, FAR)), near_hi)
+        long_run = repeated & ~np.repeat(short, run_len)
+        own_lo, own_hi = np.where(long_run, -FAR, own_lo), np.where(long_run, FAR, own_hi)
+        left = np.flatnonzero(pair)
+        own_lo[left], own_hi[left] = new_lo[left], new_hi[left]
+        merged, length, made = name.copy(), span.copy(), pair.copy()
+        with np.errstate(over="ignore"):
             merged[left] = _arrays.mix(name[left] * U64(3) + _arrays.mix(name[left + 1]))
             length[left] += span[left + 1]
-            merged[run[short]] = _arrays.mix(name[run[short]] * U64(5) + run_len[short].astype(U64))
-            length[run[short]] = run_span[short]
-            name, span, first = merged[~gone], length[~gone], first[~gone]
-    starts = np.zeros(len(words), bool)
-    starts[np.cumsum(span) - span] = True
-    return starts
+            heads, sizes = run[short], run_len[short]
+            merged[heads] = _arrays.mix(name[heads] * U64(5) + sizes.astype(U64))
+        length[heads] = sizes * span[heads]
+        made[heads] = True
+        own_lo[heads] = np.minimum.reduceat(near_lo, run)[short]
+        own_hi[heads] = np.maximum.reduceat(near_hi, run)[short]
+        gone = np.zeros(len(name), bool)
+        gone[1:] = pair[:-1]
+        gone |= same & np.repeat(short, run_len)
+        stays = ~gone
+        name, span, first, start, lo, hi, made = (x[stays] for x in (merged, length, first, start, own_lo, own_hi, made))
+        yield level, Symbols(name, start, span, lo, hi), made
+
+
+def representatives(words: np.ndarray, head: np.ndarray, window: int, levels: int) -> np.ndarray:
+    """For the window that starts at each word (if its text goes on so long)
+    the name of its longest interior symbol, of equally long ones the least."""
+    n = len(words)
+    none = np.iinfo(np.uint64).max
+    # tables of the least rank over 1, 2, 4, ... window starts from a place on
+    tables = [np.full(n, none, dtype=U64) for _ in range(window.bit_length())]
+    for level, s, made in compress(words, head, levels):
+        take = np.flatnonzero(((s.hi - s.lo) <= window) & (made if level > LEAST_LEVEL else level == LEAST_LEVEL))
+        # it is inside the windows that start at hi - window .. lo
+        begin = np.maximum(s.hi[take] - window, 0)
+        count = s.lo[take] - begin + 1
+        rank = ((U64(255) - np.minimum(s.span[take], 255).astype(U64)) << U64(56)) | (s.name[take] >> U64(8))
+        size = np.frexp(count.astype(np.float64))[1] - 1
+        for k in range(len(tables)):
+            of = np.flatnonzero(size == k)
+            np.minimum.at(tables[k], begin[of], rank[of])
+            np.minimum.at(tables[k], begin[of] + count[of] - 2**k, rank[of])
+    for k in range(len(tables) - 1, 0, -1):
+        half = 2 ** (k - 1)
+        np.minimum(tables[k - 1], tables[k], out=tables[k - 1])
+        np.minimum(tables[k - 1][half:], tables[k][:-half], out=tables[k - 1][half:])
+    found = tables[0]
+    least = np.full(n, none, dtype=U64)
+    if n >= window:
+        least[: n - window + 1] = _arrays.sliding_min(words, window) >> U64(8)
+    # the highest byte of a word's rank tells it from a symbol's
+    return np.where(found == none, (U64(255) << U64(56)) | least, found)
 
 
 def _hashed(texts: list[bytes]) -> tuple[_arrays.Words, np.ndarray]:
@@ -71,9 +151,10 @@ def _hashed(texts: list[bytes]) -> tuple[_arrays.Words, np.ndarray]:
     return words, _arrays.span_hashes(words.data, words.start, words.size)
 
 
-def _symbols_of_windows(window: int):
+def _symbols_of_windows(window: int, levels: int):
     """(key, doc_id, tag, p, n): windows p..p+n-1 of a document have the symbol
-    key. Here and below tag is a hash of the document's text."""
+    key. Read are doc_id, tag (a hash of the text), text and spans, the
+    windows that are left (null: all)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,19 +166,22 @@ def _symbols_of_windows(window: int):
                     continue
                 head = np.zeros(len(value), bool)
                 head[words.first[words.count > 0]] = True
-                rank = np.full(len(value), np.iinfo(np.uint64).max, dtype=U64)
-                context = _arrays.mix(_arrays.rolled(value, 2 * MARGIN))
-                rank[MARGIN : MARGIN + len(context)] = context
-                rank[~symbol_starts(value, head)] = np.iinfo(np.uint64).max
-                least = _arrays.sliding_min(rank[MARGIN:], window - 2 * MARGIN)
-                key = least[_arrays.ranges(words.first, count)].view(np.int64)
-                row = np.repeat(np.arange(len(count)), count)
-                p = _arrays.ranges(np.zeros(len(count), np.int64), count)
-                new = np.ones(len(key), bool)
-                new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
+                key = representatives(value, head, window, levels)
+                spans = batch.column(3).slice(begin, end - begin)
+                if spans.null_count:
+                    row, first, size = np.arange(end - begin), np.zeros(end - begin, np.int64), count
+                else:
+                    row = np.repeat(np.arange(end - begin), spans.value_lengths().to_numpy())
+                    first, size = (spans.flatten().field(k).to_numpy().astype(np.int64) for k in (0, 1))
+                part = np.repeat(np.arange(len(row)), size)
+                p = _arrays.ranges(first, size)
+                of = key[_arrays.ranges(words.first[row] + first, size)].view(np.int64)
+                new = np.ones(len(of), bool)
+                new[1:] = (of[1:] != of[:-1]) | (part[1:] != part[:-1])
                 at = np.flatnonzero(new)
+                row = row[part[at]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[at]), pa.array(ids[begin:end][row[at]]), pa.array(tags[begin:end][row[at]]), pa.array(p[at].astype(np.int32)), pa.array(np.diff(at, append=len(key)).astype(np.int32))],
+                    [pa.array(of[at]), pa.array(ids[begin:end][row]), pa.array(tags[begin:end][row]), pa.array(p[at].astype(np.int32)), pa.array(np.diff(at, append=len(of)).astype(np.int32))],
                     names=["key", "doc_id", "tag", "p", "n"],
                 )
 
@@ -171,28 +255,35 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     or empty text has no words, and one shorter than a window loses none. Rows
     with the same doc_id remove nothing from each other; a row with a null
     doc_id loses no words and removes none. Columns besides doc_id and text
-    are not read; an empty table gives no rows.
+    are not read; an empty table gives no rows. Windows are told apart by 96
+    bits of hash, whole texts by SHA-256.
     """
-    if window <= 2 * MARGIN + 2**ROUNDS:
-        raise ValueError(f"a window needs over {2 * MARGIN + 2**ROUNDS} words to hold an interior symbol")
+    if window < 1:
+        raise ValueError("a window has one word at least")
     scratch = Scratch(docs.sparkSession, "substrings")
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
     known = rows.where("doc_id is not null")
     # later copies of a whole text lose all their windows, so these needn't be compared
-    tags = scratch.keep(known.select("doc_id", "tag").distinct())
-    copied = scratch.keep(tags.groupBy("tag").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select("tag", "least"))
-    copies = scratch.keep(tags.join(copied, "tag").where("doc_id > least").select("doc_id", "tag"))
-    symbols = scratch.keep(known.mapInArrow(_symbols_of_windows(window), "key long, doc_id long, tag long, p int, n int"))
-    shared = scratch.keep(symbols.groupBy("key").agg(F.min("tag").alias("lo"), F.max("tag").alias("hi")).where("lo < hi").select("key"))
-    suspect = symbols.join(shared, "key").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("p", "n")).alias("spans"))
-    suspect = scratch.keep(suspect.join(copies, ["doc_id", "tag"], "left_anti"))
-    scratch.drop(tags, copied, symbols, shared)
-    to_verify = known.join(suspect, ["doc_id", "tag"]).select("doc_id", "tag", "text", "spans")
-    windows = scratch.keep(to_verify.mapInArrow(_window_hashes(window), "h long, g int, doc_id long, tag long, p int"))
-    scratch.drop(suspect)
-    repeated = scratch.keep(windows.groupBy("h", "g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h", "g", "lo"))
-    later = windows.join(repeated, ["h", "g"]).where("doc_id > lo")
+    tags = scratch.keep(known.select("doc_id", "tag", F.unhex(F.sha2("text", 256)).alias("sha")).distinct())
+    copied = scratch.keep(tags.groupBy("sha").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1"))
+    copies = scratch.keep(spread_join(tags, copied, ["sha"], tags.count()).where("doc_id > least").select("doc_id", "tag"))
+    scratch.drop(tags, copied)
+    spans = "array<struct<p: int, n: int>>"
+    left = known.select("doc_id", "tag", "text", F.lit(None).cast(spans).alias("spans"))
+    for levels in LEVELS:
+        symbols = scratch.keep(left.mapInArrow(_symbols_of_windows(window, levels), "key long, doc_id long, tag long, p int, n int"))
+        held = symbols.groupBy("key").agg(F.min("tag").alias("lo"), F.max("tag").alias("hi"), F.count("*").alias("n"))
+        shared = scratch.keep(held.where("lo < hi").select("key", "n"))
+        named = spread_join(symbols.withColumnRenamed("n", "size"), shared, ["key"], symbols.count())
+        suspect = named.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("p", F.col("size").alias("n"))).alias("spans"))
+        suspect = scratch.keep(suspect.join(copies, ["doc_id", "tag"], "left_anti"))
+        scratch.drop(symbols, shared)
+        left = known.join(suspect, ["doc_id", "tag"]).select("doc_id", "tag", "text", "spans")
+    windows = scratch.keep(left.mapInArrow(_window_hashes(window), "h long, g int, doc_id long, tag long, p int"))
+    repeated = windows.groupBy("h", "g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n"))
+    repeated = scratch.keep(repeated.where("lo < hi").select("h", "g", "lo", "n"))
+    later = spread_join(windows, repeated, ["h", "g"], windows.count()).where("doc_id > lo")
     cuts = scratch.keep(later.groupBy("doc_id", "tag").agg(F.collect_list("p").alias("cuts")))
     scratch.drop(windows, repeated)
     cuts = cuts.withColumn("copy", F.lit(False)).unionByName(copies.select("doc_id", "tag", F.lit(None).cast("array<int>").alias("cuts"), F.lit(True).alias("copy")))

@@ -634,10 +634,46 @@ def test_repeats_equal_brute_force(spark):
     assert got == brute_repeats(rows)
 
 
+@pytest.mark.parametrize("levels", [1, 3, 4, 7, 9])
+def test_equal_windows_have_equal_representatives(levels):
+    """The same windows in other surroundings, also next to runs and a text's ends."""
+    rng = np.random.default_rng(19)
+    words = _arrays.mix(np.arange(1, 40, dtype=np.uint64))
+    names: dict[bytes, set[int]] = defaultdict(set)
+    for turn in range(120):
+        text = words[rng.integers(0, 39 if turn % 3 else 3, 60 + turn)]
+        text[20:30] = text[19] if turn % 2 else text[20:30]
+        for _ in range(4):
+            before, after = (np.repeat(text[k], rng.integers(0, 9)) if rng.random() < 0.4 else words[rng.integers(0, 39, rng.integers(0, 30))] for k in (0, -1))
+            whole = np.concatenate([before, text, after])
+            head = np.zeros(len(whole), bool)
+            head[0] = True
+            got = substrings.representatives(whole, head, 50, levels)
+            for p in range(len(whole) - 49):
+                names[whole[p : p + 50].tobytes()].add(int(got[p]))
+    assert all(len(x) == 1 for x in names.values()) and len(names) > 5000
+    # below LEAST_LEVEL words stand for windows
+    assert len({k for x in names.values() for k in x}) > (300 if levels >= substrings.LEAST_LEVEL else 3)
+
+
+def test_symbols_stand_for_their_words():
+    rng = np.random.default_rng(20)
+    value = _arrays.mix(rng.integers(1, 6, 3000).astype(np.uint64))
+    head = np.zeros(3000, bool)
+    head[[0, 7, 900, 2999]] = True
+    spelled: dict[int, set[bytes]] = defaultdict(set)
+    for _, s, _ in substrings.compress(value, head, 7):
+        assert s.start[0] == 0 and (s.start[1:] == (s.start + s.span)[:-1]).all() and s.start[-1] + s.span[-1] == 3000
+        assert set(np.flatnonzero(head)) <= set(s.start.tolist())
+        for name, a, n in zip(s.name.tolist(), s.start, s.span, strict=True):
+            spelled[name].add(value[a : a + n].tobytes())
+    assert all(len(x) == 1 for x in spelled.values())
+
+
 def test_repeats_take_odd_tables(odd):
     assert substrings.remove_repeats(odd).count() == odd.count()
     with pytest.raises(ValueError):
-        substrings.remove_repeats(odd, 30)
+        substrings.remove_repeats(odd, 0)
 
 
 # -- 10 --------------------------------------------------------------------
