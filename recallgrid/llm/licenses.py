@@ -1,8 +1,9 @@
 """License scan by ordered signature rules.
 
 A rule is a regular expression over a text's words (ASCII lower case, joined
-by one blank), with a keyword without which it is not tried, a label, a
-priority and a weight. Of overlapping detections the one of the higher
+by one blank), with keywords without which it is not tried, a label, a
+priority and a weight. Most are written by hand (license_notices.py); mentions
+of a license's name are put together from the name and the turn of phrase. Of overlapping detections the one of the higher
 priority wins, then the longer, then the earlier: a detection inside the
 interval of one that won is suppressed. Detections of the base phrases always
 stay.
@@ -22,14 +23,15 @@ from pyspark.sql import functions as F
 
 from recallgrid.llm import _arrays
 from recallgrid.llm._spark import bounded_batches, slabs
+from recallgrid.llm.license_notices import NOTICES
 
 #: Phrase and label of the base detections.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
 #: Label, keyword, regular expressions of its names.
 NAMES = (
-    ("mit", "mit", (r"mit", r"mit x11")),
-    ("mit", "expat", (r"expat",)),
+    ("mit", " mit ", (r"mit", r"mit x11")),
+    ("mit", " expat ", (r"expat",)),
     ("apache", "apache", (r"apache(?: software)?", r"apache 2(?: 0)?")),
     ("apache", "asl 2", (r"asl 2(?: 0)?",)),
     ("agpl", "affero", (r"(?:gnu )?affero general public", r"gnu affero gpl")),
@@ -41,10 +43,10 @@ NAMES = (
     ("mpl", "mozilla", (r"mozilla public",)),
     ("epl", "eclipse", (r"eclipse public", r"eclipse distribution")),
     ("cddl", "common development", (r"common development and distribution",)),
-    ("bsd", "bsd", (r"bsd", r"(?:simplified|modified|revised|new|original) bsd", r"(?:two|three|four|[0234]) clause bsd", r"bsd [0234] clause")),
-    ("isc", "isc", (r"isc",)),
+    ("bsd", " bsd ", (r"bsd", r"(?:simplified|modified|revised|new|original) bsd", r"(?:two|three|four|[0234]) clause bsd", r"bsd [0234] clause")),
+    ("isc", " isc ", (r"isc",)),
     ("isc", "internet systems", (r"internet systems consortium",)),
-    ("zlib", "zlib", (r"zlib", r"zlib libpng")),
+    ("zlib", " zlib ", (r"zlib", r"zlib libpng")),
     ("boost", "boost", (r"boost software",)),
     ("artistic", "artistic", (r"artistic", r"perl artistic")),
     ("wtfpl", "wtfpl", (r"wtfpl",)),
@@ -53,7 +55,7 @@ NAMES = (
     ("ofl", "open font", (r"(?:sil )?open font",)),
     ("odbl", "open data", (r"open database", r"open data commons open database")),
     ("psf", "python", (r"python software foundation", r"python")),
-    ("php", "php", (r"php",)),
+    ("php", " php ", (r"php",)),
     ("ms-pl", "microsoft public", (r"microsoft public",)),
     ("unlicense", "unlicense", (r"unlicense",)),
     ("cc-by-nc-sa", "sharealike", (r"(?:creative commons )?attribution non ?commercial sharealike",)),
@@ -62,34 +64,12 @@ NAMES = (
     ("cc-by", "creative commons", (r"creative commons attribution",)),
 )
 
-#: Priority, weight and the expression of a mention of a license's name.
+#: Keyword besides the name's, priority, weight and the expression of a mention of a license's name.
 MENTIONS = (
-    (50, 0.95, r"(?:is |are |be )?(?:licensed|released|distributed|published|available|made available|redistributed) under (?:the )?(?:terms (?:and conditions )?of )?(?:the )?(?:{name})(?: licen[sc]e)?(?: version)?(?: v?\d+(?: \d+)?)?"),
-    (45, 0.9, r"(?:subject to|under|covered by|governed by) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?(?:{name}) licen[sc]e(?: version)?(?: v?\d+(?: \d+)?)?"),
-    (40, 0.8, r"(?:{name}) licen[sc]e(?: version)?(?: v?\d+(?: \d+)?)?(?: or (?:any )?later(?: version)?)?"),
-    (35, 0.7, r"licen[sc]e (?:is )?(?:the )?(?:{name})(?: licen[sc]e)?"),
-)
-
-#: Label, keyword, priority, weight, expression.
-NOTICES = (
-    ("mit", "permission is hereby granted", 90, 1.0, r"permission is hereby granted free of charge to any person obtaining a copy(?: of this software and associated documentation files)?"),
-    ("mit", "the above copyright notice", 60, 0.8, r"the above copyright notice and this permission notice shall be included in all copies or substantial portions"),
-    ("bsd", "redistribution and use", 90, 1.0, r"redistribution and use in source and binary forms with or without modification are permitted"),
-    ("isc", "permission to use copy modify", 90, 1.0, r"permission to use copy modify and or distribute this software for any purpose with or without fee"),
-    ("apache", "you may not use this file", 90, 1.0, r"you may not use this file except in compliance with the license"),
-    ("gpl", "free software you can redistribute", 80, 0.9, r"is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("lgpl", "free software you can redistribute", 85, 0.9, r"is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
-    ("agpl", "free software you can redistribute", 85, 0.9, r"is free software you can redistribute it and or modify it under the terms of the gnu affero general public license"),
-    ("zlib", "altered source versions", 90, 1.0, r"altered source versions must be plainly marked as such"),
-    ("boost", "boost software license", 80, 0.9, r"distributed under the boost software license version 1 0"),
-    ("unlicense", "free and unencumbered", 90, 1.0, r"this is free and unencumbered software released into the public domain"),
-    ("wtfpl", "do what the", 90, 1.0, r"do what the fuck you want to(?: public license)?"),
-    ("mpl", "source code form is subject", 90, 1.0, r"this source code form is subject to the terms of the mozilla public license"),
-    ("public-domain", "public domain", 40, 0.7, r"(?:dedicated to|released into|placed in|in) the public domain"),
-    ("cc0", "cc0", 60, 0.9, r"cc0(?: 1 0)?(?: universal)?"),
-    ("proprietary", "all rights reserved", 20, 0.4, r"all rights reserved"),
-    ("proprietary", "confidential", 30, 0.5, r"(?:confidential and proprietary|proprietary and confidential)"),
-    ("copyright", "copyright", 10, 0.3, r"copyright (?:c )?(?:19|20)\d\d"),
+    (" under ", 50, 0.95, r"(?:is |are |be )?(?:licensed|released|distributed|published|available|made available|redistributed) under (?:the )?(?:terms (?:and conditions )?of )?(?:the )?(?:{name})(?: licen[sc]e)?(?: version)?(?: v?\d+(?: \d+)?)?"),
+    ("licen", 45, 0.9, r"(?:subject to|under|covered by|governed by) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?(?:{name}) licen[sc]e(?: version)?(?: v?\d+(?: \d+)?)?"),
+    ("licen", 40, 0.8, r"(?:{name}) licen[sc]e(?: version)?(?: v?\d+(?: \d+)?)?(?: or (?:any )?later(?: version)?)?"),
+    ("licen", 35, 0.7, r"licen[sc]e (?:is )?(?:the )?(?:{name})(?: licen[sc]e)?"),
 )
 
 #: SPDX families: label, identifiers.
@@ -102,7 +82,8 @@ SPDX = (
 
 class Rule(NamedTuple):
     label: str
-    keyword: str
+    #: all of these are in what the expression matches, with a blank on both sides of it
+    keywords: tuple[str, ...]
     priority: int
     weight: float
     pattern: re.Pattern
@@ -111,20 +92,20 @@ class Rule(NamedTuple):
 @cache
 def rules() -> tuple[Rule, ...]:
     """All rules, highest priority first."""
-    found = [(label, keyword, priority, weight, pattern) for label, keyword, priority, weight, pattern in NOTICES]
-    found += [(label, keyword, priority, weight, mention.format(name=name)) for label, keyword, names in NAMES for name in names for priority, weight, mention in MENTIONS]
-    found += [(label, "spdx", 100, 1.0, rf"spdx license identifier {identifier}") for label, identifier in SPDX]
+    found = [(label, (keyword,), priority, weight, pattern) for label, keyword, priority, weight, pattern in NOTICES]
+    found += [(label, (keyword, also), priority, weight, mention.format(name=name)) for label, keyword, names in NAMES for name in names for also, priority, weight, mention in MENTIONS]
+    found += [(label, ("spdx",), 100, 1.0, rf"spdx license identifier {identifier}") for label, identifier in SPDX]
     # the Creative Commons short forms are built from their parts
     for parts in ("by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd"):
         label = f"cc {parts}".replace(" ", "-")
-        found += [(label, "cc by", 70 + len(parts), 0.9, rf"(?:licensed under )?(?:a )?(?:creative commons )?cc {parts}(?: \d 0)?")]
+        found += [(label, ("cc by",), 70 + len(parts), 0.9, rf"(?:licensed under )?(?:a )?(?:creative commons )?cc {parts}(?: \d 0)?")]
     found.sort(key=lambda r: -r[2])
-    return tuple(Rule(label, keyword, priority, weight, re.compile(rf"(?<![0-9a-z\u0080-\U0010ffff])(?:{pattern})(?![0-9a-z\u0080-\U0010ffff])")) for label, keyword, priority, weight, pattern in found)
+    return tuple(Rule(label, keywords, priority, weight, re.compile(rf"(?<![0-9a-z\u0080-\U0010ffff])(?:{pattern})(?![0-9a-z\u0080-\U0010ffff])")) for label, keywords, priority, weight, pattern in found)
 
 
 @cache
 def keywords() -> tuple[str, ...]:
-    return tuple(sorted({rule.keyword for rule in rules()}))
+    return tuple(sorted({keyword for rule in rules() for keyword in rule.keywords}))
 
 
 def _uncontained(found: list[tuple]) -> list[tuple[int, int, Rule]]:
@@ -150,10 +131,6 @@ def _uncontained(found: list[tuple]) -> list[tuple[int, int, Rule]]:
     return won
 
 
-#: A text in which this finds nothing holds nothing that a rule finds: a mention
-#: has "licen", or one of these verbs and "under" before the name.
-SIGNS = re.compile(rb"licen|(?:released|distributed|published|available)[^0-9a-z\x80-\xff]+under|copyright|gpl|spdx|permission|redistrib|public|cc0|cc[^0-9a-z\x80-\xff]+by|rights|confidential|altered|unencumbered|wtfpl|do[^0-9a-z\x80-\xff]+what|may[^0-9a-z\x80-\xff]+not")
-
 WORD_BYTES = np.zeros(256, dtype=bool)
 WORD_BYTES[48:58] = WORD_BYTES[97:123] = WORD_BYTES[128:] = True
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -176,10 +153,13 @@ NOTHING = Scan(0, None, None, [], [], 0.0, [])
 
 def scan(lowered: bytes) -> Scan:
     """The detections in a text in ASCII lower case."""
-    if not SIGNS.search(lowered):
-        return NOTHING
     words = [w.decode("utf-8", "replace") for w in WORD.findall(lowered)]
     joined = f" {' '.join(words)} "
+    # the keyword prefilter: most texts hold few keywords, and so need few expressions or none
+    present = {keyword for keyword in keywords() if keyword in joined}
+    tried = [rule for rule in rules() if present.issuperset(rule.keywords)] if present else []
+    if not tried and not any(phrase in joined for phrase, _ in BASE):
+        return NOTHING
     begins = np.cumsum([1] + [len(w) + 1 for w in words])
 
     def word_at(place: int) -> int:
@@ -192,11 +172,7 @@ def scan(lowered: bytes) -> Scan:
             base.append((word_at(at + 1), label))
             spans.append((label, base[-1][0], base[-1][0] + phrase.count(" ") + 1))
             at = joined.find(f" {phrase} ", at + 1)
-    found = []
-    present = {keyword for keyword in keywords() if keyword in joined}
-    for rule in rules():
-        if rule.keyword in present:
-            found += [(-rule.priority, m.start() - m.end(), m.start(), m.end(), rule) for m in rule.pattern.finditer(joined)]
+    found = [(-rule.priority, m.start() - m.end(), m.start(), m.end(), rule) for rule in tried for m in rule.pattern.finditer(joined)]
     won = _uncontained(sorted(found, key=lambda x: x[:3]))
     spans += [(rule.label, word_at(s), word_at(e + 1)) for s, e, rule in won]
     labels = {label for _, label in base}

@@ -367,29 +367,54 @@ def spelled(parsed, rng):
     return out
 
 
-def rule_examples():
+def rule_examples(n=30):
     rng = random.Random(12)
-    return [(rule, spelled(re._parser.parse(rule.pattern.pattern), rng)) for rule in licenses.rules() for _ in range(30)]
+    return [(rule, spelled(re._parser.parse(rule.pattern.pattern), rng)) for rule in licenses.rules() for _ in range(n)]
 
 
-def test_license_signs_miss_no_rule(monkeypatch):
-    examples = rule_examples() + [(None, x) for x in ("released under apache 2 0", "distributed under mit", "available under bsd 3 clause", "published under creative commons attribution 4 0")]
-    gated = [licenses.scan(text.replace(" ", "-\n").encode()) for _, text in examples]
-    monkeypatch.setattr(licenses, "SIGNS", re.compile(b""))
-    for (rule, text), got in zip(examples, gated, strict=True):
-        assert rule is None or rule.pattern.fullmatch(text)
-        assert got == licenses.scan(text.replace(" ", "-\n").encode()), text
-    assert all(got.labels for got in gated[-4:])
+def test_license_keywords_miss_no_rule(monkeypatch):
+    """With the keyword prefilter and without it the same is found."""
+    spoken = ("released under apache 2 0", "distributed under mit", "available under bsd 3 clause", "published under creative commons attribution 4 0", "permit python misc")
+    examples = [(rule, text.replace(" ", "-\n").encode()) for rule, text in rule_examples(3) + [(None, x) for x in spoken]]
+    gated = [licenses.scan(text) for _, text in examples]
+    free = tuple(rule._replace(keywords=()) for rule in licenses.rules())
+    monkeypatch.setattr(licenses, "rules", lambda: free)
+    monkeypatch.setattr(licenses, "keywords", lambda: ("",))
+    for (_, text), got in zip(examples, gated, strict=True):
+        want = licenses.scan(text)
+        assert got == want._replace(spans=got.spans) and len(got.spans) == len(want.spans), text
+    assert all(got.labels for got in gated[-5:-1]) and not gated[-1].labels
 
 
 def test_license_rules_are_tried_on_what_they_match():
-    assert len(licenses.rules()) == 232
+    from recallgrid.llm import license_notices
+
+    assert len(license_notices.NOTICES) > 200 and len(licenses.rules()) > 400
+    assert len({x[4] for x in license_notices.NOTICES}) == len(license_notices.NOTICES)
     for rule, text in rule_examples():
-        assert rule.keyword in text, (rule, text)
+        assert rule.pattern.fullmatch(text) and all(keyword in f" {text} " for keyword in rule.keywords), (rule, text)
     for text, label in (("under the Expat license", "mit"), ("ASL 2.0 license", "apache"), ("Internet Systems Consortium license", "isc")):
         assert licenses.scan(text.lower().encode()).labels == [label]
 
 
+def test_license_labels_equal_a_plain_scan():
+    """Priorities and containment by a plain loop over all rules' matches."""
+    rng = random.Random(21)
+    pool = [text for _, text in rule_examples(2)] + ["some other words", "mit", "license", "under the"]
+    for _ in range(60):
+        text = " ".join(rng.choice(pool) for _ in range(rng.randrange(1, 9)))
+        joined = f" {text} "
+        found = sorted(((-r.priority, m.start() - m.end(), m.start(), k, m.end(), r) for k, r in enumerate(licenses.rules()) for m in r.pattern.finditer(joined)), key=lambda x: x[:4])
+        won = []
+        for x in found:
+            if not any(s <= x[2] and x[4] <= e for s, e, _ in won):
+                won.append((x[2], x[4], x[5]))
+        base = [label for phrase, label in licenses.BASE if f" {phrase} " in joined]
+        got = licenses.scan(text.encode())
+        assert got.labels == sorted({r.label for *_, r in won} | set(base)), text
+        assert got.score == max([r.weight for *_, r in won] + [0.8] * bool(base), default=0.0)
+
+
 def test_licenses_take_odd_tables(odd):
     assert licenses.scan_licenses(odd).count() == odd.count()
 
