@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 from collections import defaultdict
@@ -571,6 +572,100 @@ def test_quality_on_held_out_labels(spark):
     assert all(r.keep for r in got if r.quality == 1)
 
 
+def plain_logistic(x, y, ridge):
+    """Ridge logistic regression by plain Newton steps, one row at a time."""
+    beta = [0.0] * len(x[0])
+    for _ in range(12):
+        gradient, curve = np.zeros(len(beta)), np.zeros((len(beta), len(beta)))
+        for row, label in zip(x, y, strict=True):
+            p = 1 / (1 + math.exp(-min(30.0, max(-30.0, float(np.dot(row, beta))))))
+            gradient += (label - p) * row
+            curve += max(p * (1 - p), 1e-6) * np.outer(row, row)
+        for k in range(len(beta)):
+            pull = 1e-6 if k == len(beta) - 1 else ridge
+            gradient[k] -= pull * beta[k]
+            curve[k, k] += pull
+        step = np.linalg.solve(curve, gradient)
+        beta = [b + s for b, s in zip(beta, step, strict=True)]
+        if max(abs(step)) < 1e-6:
+            break
+    return np.array(beta)
+
+
+def plain_co_training(labelled, y, pool, asked, rounds):
+    """Blum and Mitchell's scheme, spelled out: the scores of asked."""
+
+    def sigmoid(z):
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+    order = np.random.default_rng(3).permutation(len(y))
+    held, train = order[: len(y) // 4], order[len(y) // 4 :]
+
+    def cut(k, features):
+        columns = []
+        for c in range(features.shape[1]):
+            for edge in sorted(set(np.quantile(labelled[k][train][:, c], [i / quality.BINS for i in range(1, quality.BINS)]).tolist())):
+                columns.append([float(v > edge) for v in features[:, c]])
+        return np.array([*columns, [1.0] * len(features)]).T
+
+    cuts = [{name: cut(k, part[k]) for name, part in (("labelled", labelled), ("pool", pool), ("asked", asked))} for k in (0, 1)]
+    taught = [{}, {}]
+    for turn in range(rounds + 1):
+        betas = []
+        for k in (0, 1):
+            rows = [cuts[k]["labelled"][i] for i in train] + [cuts[k]["pool"][i] for i in taught[k]]
+            betas.append(plain_logistic(np.array(rows), [y[i] for i in train] + list(taught[k].values()), 1.0))
+        raw = [cuts[k]["labelled"][held] @ betas[k] for k in (0, 1)]
+        scales = [plain_logistic(np.stack([r, np.ones(len(r))], axis=1), y[held], 0.01) for r in raw]
+        if turn == rounds:
+            break
+        news = []
+        for k in (0, 1):
+            p = sigmoid(scales[k][0] * (cuts[k]["pool"] @ betas[k]) + scales[k][1])
+            for label, sure, share in ((1.0, p, y.mean()), (0.0, 1 - p, 1 - y.mean())):
+                ranked = sorted(range(len(p)), key=lambda i: (-sure[i], i))[: int(quality.SHARE_PER_ROUND * share * len(p))]
+                news.append((1 - k, label, [i for i in ranked if sure[i] >= quality.SURE]))
+        for k, label, rows in news:
+            for i in rows:
+                taught[k].setdefault(i, label)
+    odds = [scales[k][0] * raw[k] + scales[k][1] for k in (0, 1)]
+    blend = plain_logistic(np.stack([*odds, np.ones(len(held))], axis=1), y[held], 0.1)
+    last = [scales[k][0] * (cuts[k]["asked"] @ betas[k]) + scales[k][1] for k in (0, 1)]
+    return sigmoid(last[0]), sigmoid(last[1]), sigmoid(blend[0] * last[0] + blend[1] * last[1] + blend[2]), [len(t) for t in taught]
+
+
+def test_quality_equals_plain_co_training(spark):
+    """On a table small enough for the samples to be all of it."""
+    rng = random.Random(22)
+    rows, labels = [], []
+    for k in range(260):
+        good = rng.random() < 0.6
+        text = " ".join(rng.choice(["the", "river", "stone", "walks", "slowly"] if good else ["!!!", "BUY", "now", "$$$", "the"]) for _ in range(rng.randrange(5, 60)))
+        rows.append((k, text + ("." if good else "!"), "web" if rng.random() < (0.2 if good else 0.8) else "book"))
+        if k < 160:
+            labels.append((k, int(good), 0))
+    df = docs(spark, rows)
+    model = quality.fit(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = {r.doc_id: r for r in quality.score(df, model).collect()}
+
+    def views(part):
+        texts = [t.encode() for _, t, _ in part]
+        return [quality.text_features(texts), quality.metadata_features(texts, ["en"] * len(part), [s for *_, s in part])]
+
+    def in_order(part, y):
+        v = views(part)
+        by = sorted(range(len(part)), key=lambda i: (v[0][i].tolist(), v[1][i].tolist(), y[i]))
+        return [x[by] for x in v], np.array([y[i] for i in by], dtype=float)
+
+    labelled, y = in_order(rows[:160], [q for _, q, _ in labels])
+    pool, _ = in_order(rows, [0] * len(rows))
+    content, metadata, both, taught = plain_co_training(labelled, y, pool, views(rows), quality.ROUNDS)
+    assert min(taught) > 0
+    for (d, _, _), *want in zip(rows, content, metadata, both, strict=True):
+        # sums of many rows differ in their last digits, which Newton's steps carry on
+        assert [got[d].text_score, got[d].metadata_score, got[d].score] == pytest.approx(want, abs=1e-4)
+
+
 def test_quality_takes_odd_tables(spark, odd):
     labels = spark.createDataFrame([(1, 1, 0), (3, 0, 0), (3, 1, 0), (None, 1, 0), (5, None, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
     model = quality.fit(odd, labels)
