@@ -59,10 +59,16 @@ def temporal_phrases(texts: DataFrame, key: str = "id", text: str = "text", anch
         (LAST_NEXT, "relative", now + days(shift), none, 0.7),
         (DAY, "relative", F.date_trunc("day", now + days(day)), none, 1.0),
     )
+    # one scan: each text gives the phrases of all rules, and the rule decides how they are read
+    lists = F.array(*[F.struct(F.lit(k + 1).alias("rule"), F.regexp_extract_all(F.col("text"), F.lit(rule[0]), F.lit(0)).alias("all")) for k, rule in enumerate(rules)])
     base = texts.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(anchor).alias("anchor"))
-    out: DataFrame | None = None
-    for k, (pattern, kind, resolved, end, confidence) in enumerate(rules):
-        found = base.select("key", "anchor", F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("place", "surface"))
-        part = found.select(F.col("key").alias(key), F.lit(k + 1).alias("rule"), "place", "surface", F.lit(kind).alias("kind"), resolved.cast("bigint").alias("resolved"), end.cast("bigint").alias("range_end"), F.lit(confidence).alias("confidence")).where("resolved is not null")
-        out = part if out is None else out.unionByName(part)
-    return out
+    found = base.select("key", "anchor", F.explode(lists).alias("found")).select("key", "anchor", "found.rule", F.posexplode("found.all").alias("place", "surface"))
+
+    def of_rule(at: int) -> Column:
+        value = F.lit(None)
+        for k, rule in enumerate(rules):
+            value = F.when(F.col("rule") == k + 1, rule[at] if isinstance(rule[at], Column) else F.lit(rule[at])).otherwise(value)
+        return value
+
+    read = found.select(F.col("key").alias(key), "rule", "place", "surface", of_rule(1).alias("kind"), of_rule(2).cast("bigint").alias("resolved"), of_rule(3).cast("bigint").alias("range_end"), of_rule(4).alias("confidence"))
+    return read.where("resolved is not null")

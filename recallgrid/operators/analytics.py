@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.ml.feature import PCA
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from recallgrid.functions import vectors as V
 from recallgrid.operators.graph import both_ways
 from recallgrid.operators.lifecycle import expired
 from recallgrid.plans.schema import live
@@ -79,16 +84,31 @@ def overview(stores: DataFrame, most: int = 10) -> DataFrame:
 
 def discover_schema(records: DataFrame, samples: int = 8) -> DataFrame:
     """Of each attribute not starting with "_": records, different values
-    (counted to 64), the first samples by value, and their type: bool, int,
-    float or string, as all values read."""
+    (counted to 64), the first samples by value, and the type that its values
+    have: int, float, bool or str, or mixed if they differ."""
     pairs = live(records).select(F.explode("attributes").alias("key", "value")).where(~F.col("key").startswith("_"))
     values = pairs.groupBy("key", "value").agg(F.count("*").alias("n"))
     v = F.col("value")
-    kinds = {"bool": F.lower(v).isin("true", "false"), "int": v.try_cast("bigint").isNotNull(), "float": v.try_cast("double").isNotNull()}
-    numbered = values.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("value")))
-    found = numbered.groupBy("key").agg(F.sum("n").alias("records"), F.count("*").alias("different"), F.array_sort(F.collect_list(F.when(F.col("nth") <= samples, v))).alias("samples"), *[F.every(k).alias(f"__{name}") for name, k in kinds.items()])
-    kind = F.when(F.col("__bool"), "bool").when(F.col("__int"), "int").when(F.col("__float"), "float").otherwise("string")
-    return found.select("key", "records", F.least(F.col("different"), F.lit(64)).alias("different"), "samples", kind.alias("kind"))
+    kind = F.when(v.try_cast("bigint").isNotNull(), "int").when(v.try_cast("double").isNotNull(), "float").when(v.isin("true", "false", "True", "False"), "bool").otherwise("str")
+    found = values.groupBy("key").agg(F.sum("n").alias("records"), F.least(F.count("*"), F.lit(64)).alias("different"), F.min(kind).alias("least"), F.max(kind).alias("most"))
+    # tasks keep the first samples of a key before these meet
+    first = values.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("value"))).where(F.col("nth") <= samples)
+    shown = first.groupBy("key").agg(F.array_sort(F.collect_list("value")).alias("samples"))
+    return found.join(shown, "key").select("key", "records", "different", "samples", F.when(F.col("least") == F.col("most"), F.col("least")).otherwise("mixed").alias("kind"))
+
+
+def discover_names(records: DataFrame, namespaces: int = 20, sources: int = 10, entities: int = 20) -> DataFrame:
+    """(what, name, n) of live records: the largest namespaces and sources, by
+    number and then name, and entities of the smallest record ids (one row
+    each, n null)."""
+    alive = live(records)
+
+    def largest(column: str, most: int) -> DataFrame:
+        counted = alive.where(F.col(column) != "").groupBy(column).agg(F.count("*").alias("n"))
+        return counted.orderBy(F.desc("n"), column).limit(most).select(F.lit(column).alias("what"), F.col(column).alias("name"), "n")
+
+    met = alive.where("entity_id <> ''").orderBy("id").limit(entities).select(F.lit("entity_id").alias("what"), F.col("entity_id").alias("name"), F.lit(None).cast("bigint").alias("n"))
+    return largest("namespace_id", namespaces).unionByName(largest("source", sources)).unionByName(met)
 
 
 def roll_up(records: DataFrame, levels: tuple[str, ...] = LEVELS) -> DataFrame:
@@ -97,12 +117,10 @@ def roll_up(records: DataFrame, levels: tuple[str, ...] = LEVELS) -> DataFrame:
     missing brand."""
     value = [F.coalesce(F.element_at("attributes", name), F.lit("")) for name in levels]
     value[0] = F.when(value[0] == "", F.col("namespace_id")).otherwise(value[0])
-    path, going = F.array().cast("array<string>"), F.lit(True)
-    for v in value:
-        going = going & (v != "")
-        path = F.when(going, F.concat(path, F.array(v))).otherwise(path)
-    paths = live(records).select(path.alias("path")).where(F.size("path") > 0).groupBy("path").agg(F.count("*").alias("n"))
-    prefixes = paths.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda k: F.slice("path", 1, k))).alias("path"), "n")
+    named = live(records).select(F.array(*value).alias("all")).withColumn("gap", F.array_position("all", ""))
+    depth = F.when(F.col("gap") == 0, F.size("all")).otherwise(F.col("gap").cast("int") - 1)
+    paths = named.select(F.slice("all", F.lit(1), depth).alias("path")).where(F.size("path") > 0).groupBy("path").agg(F.count("*").alias("n"))
+    prefixes = paths.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda k: F.slice("path", F.lit(1), k))).alias("path"), "n")
     return prefixes.groupBy(F.array_join("path", "/").alias("path"), F.size("path").alias("depth")).agg(F.sum("n").alias("n"))
 
 
@@ -197,6 +215,19 @@ def centroid(vectors: DataFrame, by: list[str]) -> DataFrame:
     return whole.withColumn("vec", F.when(length > 0, F.transform("vec", lambda x: x / length)).otherwise(F.col("vec")))
 
 
+def plane(vectors: DataFrame, k: int = 2) -> DataFrame:
+    """(id, x): vectors (id, vec) of one dimension on their first k principal
+    axes, centred; each axis has the sign that makes its largest weight
+    positive."""
+    featured = vectors.select("id", array_to_vector(F.col("vec").cast("array<double>")).alias("v"))
+    axes = PCA(k=k, inputCol="v", outputCol="p").fit(featured).pc.toArray()
+    axes = axes * np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(k)])
+    # one row: the mean of each component
+    mean = np.asarray(featured.select(Summarizer.mean(F.col("v")).alias("m")).first()["m"].toArray())
+    shift = (mean @ axes).tolist()
+    return vectors.select("id", F.array(*[V.inner_product(F.col("vec"), F.array(*[F.lit(float(w)) for w in axes[:, j]])) - shift[j] for j in range(k)]).alias("x"))
+
+
 def stratified(rows: DataFrame, by: str, order: list[Column], most: int) -> DataFrame:
     """most rows, in turn one of each kind."""
     nth = F.row_number().over(Window.partitionBy(by).orderBy(*order))

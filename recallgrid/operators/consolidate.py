@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -139,12 +140,28 @@ def connected(pairs: DataFrame, most_rounds: int = 30) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def consolidate(records: DataFrame, vectors: DataFrame, edges: DataFrame, now: int, namespace: str | None = None, least: float = 0.85, recent_seconds: int | None = None, least_members: int = 2) -> Consolidation:
+def _summarised(clusters: DataFrame, summarise: Callable[[list[str]], str]) -> DataFrame:
+    @F.pandas_udf("string")
+    def summary(contents: pd.Series) -> pd.Series:
+        def one(texts) -> str | None:
+            try:
+                return summarise(list(texts)) or None
+            except Exception:  # a model's failure leaves the plain content
+                return None
+
+        return contents.map(one)
+
+    return clusters.withColumn("content", F.coalesce(summary("contents"), "content"))
+
+
+def consolidate(records: DataFrame, vectors: DataFrame, edges: DataFrame, now: int, namespace: str | None = None, least: float = 0.85, recent_seconds: int | None = None, least_members: int = 2, summarise: Callable[[list[str]], str] | None = None) -> Consolidation:
     """Makes a fact record of each cluster of live records that are linked by
     cosines of at least least: its vector the members' centroid, content the
     first 200 characters of each joined by " | ", importance their greatest,
     confidence their mean. Members get an edge to it and importance 0.3. Its
-    id is a hash of the members' ids, so that a second run makes the same."""
+    id is a hash of the members' ids, so that a second run makes the same.
+    summarise makes the content from the members' first 200 characters, in
+    the order of ids; where it fails or gives nothing, these are joined."""
     hit = live(records).where(F.col("importance") > 0.01)
     if namespace is not None:
         hit = hit.where(F.col("namespace_id") == namespace)
@@ -155,9 +172,11 @@ def consolidate(records: DataFrame, vectors: DataFrame, edges: DataFrame, now: i
     members = hit.join(labels, "id")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("id", F.substring("content", 1, 200).alias("content")))), lambda m: m["content"])
     clusters = members.groupBy("root").agg(
-        F.count("*").alias("members"), F.array_join(ordered, " | ").alias("content"), F.max("importance").alias("importance"), F.avg(F.col("confidence").cast("double")).cast("float").alias("confidence"),
+        F.count("*").alias("members"), F.array_join(ordered, " | ").alias("content"), ordered.alias("contents"), F.max("importance").alias("importance"), F.avg(F.col("confidence").cast("double")).cast("float").alias("confidence"),
         F.min("namespace_id").alias("namespace_id"), F.array_join(F.array_sort(F.collect_list("id")).cast("array<string>"), ",").alias("ids"),
     ).where(F.col("members") >= least_members).withColumn("id", hashed_id(F.concat(F.lit("cluster:"), F.col("ids"))))
+    if summarise is not None:
+        clusters = _summarised(clusters, summarise)
     made = clusters.select("id", F.lit(now).cast("bigint").alias("ts"), "importance", F.lit(FACT).cast("tinyint").alias("type"), F.lit("consolidation").alias("source"), "content", "namespace_id", "confidence")
     lowered = records.join(members.join(clusters.select("root"), "root", "left_semi").select("id", F.lit(True).alias("__hit")), "id", "left")
     lowered = lowered.withColumn("importance", F.when(F.col("__hit"), F.lit(0.3).cast("float")).otherwise(F.col("importance"))).select(*records.columns)

@@ -10,6 +10,7 @@ from recallgrid.functions import vectors as V
 from recallgrid.functions.scoring import stickiness
 from recallgrid.operators.search import search_batch
 from recallgrid.plans.schema import dead, live
+from recallgrid.plans.session import ensure_checkpoint_dir
 
 # Relation types.
 RELATIONS = ("related_to", "derived_from", "caused_by", "contradicts", "supports", "precedes", "part_of", "references", "multimodal_of")
@@ -42,11 +43,13 @@ def related(edges: DataFrame, records: DataFrame, record_id: int, way: str = "bo
     return near.join(records.select(F.col("id").alias("other"), "content"), "other").select("other", "rel_type", "weight", "way", "content")
 
 
-def link(edges: DataFrame, new: DataFrame, records: DataFrame) -> DataFrame:
+def link(edges: DataFrame, new: DataFrame, records: DataFrame, order: str | None = None) -> DataFrame:
     """edges with new ones: those whose source is a record and whose (src, dst,
-    rel_type) isn't there yet; the first of equal ones, by weight, stays."""
-    fresh = new.join(records.select(F.col("id").alias("src")), "src", "left_semi").join(edges, ["src", "dst", "rel_type"], "left_anti")
-    first = fresh.groupBy("src", "dst", "rel_type").agg(F.max("weight").alias("weight"))
+    rel_type) isn't there yet. Of equal ones the first stays, by the column
+    order of new, or by their place in new if that isn't given."""
+    placed = new.withColumn("__order", F.col(order) if order else F.monotonically_increasing_id())
+    fresh = placed.join(records.select(F.col("id").alias("src")), "src", "left_semi").join(edges.select("src", "dst", "rel_type"), ["src", "dst", "rel_type"], "left_anti")
+    first = fresh.groupBy("src", "dst", "rel_type").agg(F.min_by("weight", "__order").alias("weight"))
     return edges.unionByName(first.select(*edges.columns))
 
 
@@ -78,13 +81,16 @@ def auto_link(records: DataFrame, vectors: DataFrame, edges: DataFrame, threshol
 
 def hops(edges: DataFrame, seeds: DataFrame, most: int = 2) -> DataFrame:
     """(id, hop): what a walk along edges in both directions reaches from
-    seeds (id), with the fewest steps. The plan has one join per hop."""
-    steps = both_ways(edges).select("id", "other").distinct()
+    seeds (id), with the fewest steps. Each hop is one join and one
+    aggregation of what was reached before, in a table of its own."""
+    ensure_checkpoint_dir(edges.sparkSession)
+    steps = both_ways(edges).select("id", "other")
     seen = seeds.select("id").distinct().withColumn("hop", F.lit(0))
-    front = seen
     for hop in range(1, most + 1):
-        front = front.select("id").join(steps, "id").select(F.col("other").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("hop", F.lit(hop))
-        seen = seen.unionByName(front)
+        front = seen.where(F.col("hop") == hop - 1).select("id").join(steps, "id").select(F.col("other").alias("id"), F.lit(hop).alias("hop"))
+        seen = seen.unionByName(front).groupBy("id").agg(F.min("hop").alias("hop"))
+        if hop < most:
+            seen = seen.checkpoint()
     return seen
 
 

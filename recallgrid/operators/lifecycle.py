@@ -166,16 +166,28 @@ def merge_records(target: DataFrame, source: DataFrame, policy: str = "keep_targ
 
 
 def merge(target: Tables, source: Tables, policy: str = "keep_target", modalities: list[str] | None = None) -> Tables:
-    """Both stores in one. Vectors of ids in both follow the policy (merge
-    takes the source's); edges are united, those with a missing end dropped."""
+    """Both stores in one. Only source records with a vector come. Those that
+    are new bring their vectors and all their edges. Of ids in both, records
+    follow the policy; under keep_source the source's vectors and, if it has
+    any, edges take the place of the target's, under the others the target's
+    vectors stay and source edges to records that are there are added. The
+    target's other edges stay as they are; of edges alike in src, dst and
+    rel_type the target's is the one that stays."""
     incoming = source.vectors if modalities is None else source.vectors.where(F.col("modality").isin(*modalities))
-    chosen = source.records if modalities is None else source.records.join(incoming.select("id").distinct(), "id", "left_semi")
+    chosen = source.records.join(incoming.select("id").distinct(), "id", "left_semi")
+    incoming = incoming.join(chosen.select("id"), "id", "left_semi").select(*target.vectors.columns)
     records = merge_records(target.records, chosen, policy)
-    if policy == "keep_target":
-        vectors = target.vectors.unionByName(incoming.join(target.vectors.select("modality", "id"), ["modality", "id"], "left_anti").select(*target.vectors.columns))
-    else:
+    offered = source.edges.join(chosen.select(F.col("id").alias("src")), "src", "left_semi").select(*target.edges.columns)
+    kept = target.edges
+    if policy == "keep_source":
         vectors = upsert(target.vectors, incoming, ["modality", "id"])
-    edges = target.edges.unionByName(source.edges).dropDuplicates(["src", "dst", "rel_type"])
-    ids = records.select("id")
-    edges = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    return Tables(records, vectors, edges.select(*target.edges.columns))
+        kept = kept.join(offered.select("src").distinct(), "src", "left_anti").select(*target.edges.columns)
+    else:
+        known = target.records.select("id")
+        vectors = target.vectors.unionByName(incoming.join(known, "id", "left_anti").select(*target.vectors.columns))
+        new = offered.join(known.withColumnRenamed("id", "src"), "src", "left_anti").select(*target.edges.columns)
+        more = offered.join(known.withColumnRenamed("id", "src"), "src", "left_semi").join(records.select(F.col("id").alias("dst")), "dst", "left_semi")
+        offered = new.unionByName(more.select(*target.edges.columns))
+    key = ["src", "dst", "rel_type"]
+    fresh = offered.join(kept.select(*key), key, "left_anti").groupBy(*key).agg(F.max("weight").alias("weight"))
+    return Tables(records, vectors, kept.unionByName(fresh.select(*target.edges.columns)))

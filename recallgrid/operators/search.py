@@ -148,13 +148,15 @@ def search_diverse(candidates: DataFrame, k: int = 10, diversity: float = 0.5) -
     return candidates.select("id", "score", "vec").orderBy(F.desc("score"), "id").limit(min(5 * k, 200)).groupBy(F.lit(1).alias("all")).applyInPandas(pick, "rank int, id long, score double")
 
 
-def build_ivf(vectors: DataFrame, cells: int = 32, seed: int = 7, sample: float = 1.0) -> tuple[DataFrame, list[list[float]]]:
-    """(vectors with their cell, centres). Written partitioned by cell, a
-    probe reads only the cells it visits."""
-    featured = vectors.withColumn("features", array_to_vector(F.col("vec").cast("array<double>")))
-    model = KMeans(k=cells, seed=seed, maxIter=15).fit(featured.sample(sample, seed) if sample < 1 else featured)
-    placed = model.transform(featured).withColumnRenamed("prediction", "cell").drop("features")
-    return placed, [c.tolist() for c in model.clusterCenters()]
+def build_ivf(vectors: DataFrame, cells: int = 32, seed: int = 7, sample: float = 1.0, centres: list[list[float]] | None = None) -> tuple[DataFrame, list[list[float]]]:
+    """(vectors with their cell, centres), the centres fitted or given. Written
+    partitioned by cell, a probe reads only the cells it visits."""
+    if centres is None:
+        featured = vectors.withColumn("features", array_to_vector(F.col("vec").cast("array<double>")))
+        model = KMeans(k=cells, seed=seed, maxIter=15).fit(featured.sample(sample, seed) if sample < 1 else featured)
+        return model.transform(featured).withColumnRenamed("prediction", "cell").drop("features"), [c.tolist() for c in model.clusterCenters()]
+    ways = F.array(*[F.struct(V.squared_l2(F.col("vec"), query_vector(c)).alias("far"), F.lit(k).alias("cell")) for k, c in enumerate(centres)])
+    return vectors.withColumn("cell", F.array_min(ways)["cell"]), centres
 
 
 def search_ivf(placed: DataFrame, centres: list[list[float]], query: list[float], k: int = 10, nprobe: int = 4) -> DataFrame:

@@ -167,9 +167,12 @@ def mmr_select(spark, d):
     return rounded(search.search_diverse(found.join(vectors(spark, d).select("id", "vec"), "id"), 10), "score")
 
 
-@query()
+@query("WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), c AS (SELECT id AS cell, e AS c FROM v ORDER BY id LIMIT 16), q AS (SELECT e AS q FROM v WHERE id = 0), near AS (SELECT id, e, arg_min(cell, (pow(list_distance(e, c), 2), cell)) AS cell FROM v, c GROUP BY id, e), probed AS (SELECT cell FROM c, q ORDER BY pow(list_distance(c, q), 2), cell LIMIT 8) SELECT id, round(pow(list_distance(e, q), 2), 6) AS distance, round(1 / (1 + pow(list_distance(e, q), 2)), 6) AS similarity FROM near, q WHERE cell IN (SELECT cell FROM probed) ORDER BY pow(list_distance(e, q), 2), id LIMIT 10")
 def knn_ivf(spark, d):
-    placed, centres = search.build_ivf(vectors(spark, d), 16)
+    """Cells around the first 16 vectors, so that SQL can have the same; build_ivf() fits them else."""
+    v = vectors(spark, d)
+    centres = [[float(x) for x in r["vec"]] for r in v.orderBy("id").limit(16).collect()]
+    placed, centres = search.build_ivf(v, centres=centres)
     return rounded(search.search_ivf(placed, centres, first_vector(spark, d), 10, 8), "distance", "similarity")
 
 
@@ -223,6 +226,12 @@ def bm25_filtered(spark, d):
     return rounded(keyword.keyword_search(doc_records(spark, d), WORDS, 20, FilterSpec().namespace("fr")), "score")
 
 
+@query(f"WITH {BM25} SELECT id, round(score, 6) AS score FROM bm ORDER BY round(score, 9) DESC, id DESC LIMIT 20")
+def bm25_indexed(spark, d):
+    posted, stats = keyword.build_index(live(doc_records(spark, d)))
+    return rounded(keyword.search_index(posted, stats, WORDS, 20), "score")
+
+
 def _rrf_sql(k: int) -> str:
     return f"WITH {VD}, {BM25}, a AS (SELECT id, row_number() OVER (ORDER BY 1 / (1 + d) DESC, id) AS place FROM (SELECT id, d FROM vd ORDER BY d, id LIMIT 30)), b AS (SELECT id, row_number() OVER (ORDER BY round(score, 9) DESC, id DESC) AS place FROM (SELECT * FROM bm ORDER BY round(score, 9) DESC, id DESC LIMIT 30)) SELECT id, round(sum(1.0 / ({k} + place)), 6) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY id ORDER BY round(sum(1.0 / ({k} + place)), 12) DESC, id DESC LIMIT 10"
 
@@ -515,6 +524,69 @@ _merge_query("keep_source", f"WITH {_SIDES} SELECT id, CASE WHEN s THEN 'source'
 _merge_query("merge", f"WITH {_SIDES} SELECT id, CASE WHEN t THEN 'target' ELSE 'source' END AS source, CASE WHEN s AND t THEN greatest(ti, si) WHEN s THEN si ELSE ti END AS importance, CASE WHEN s THEN 'new' ELSE k END AS k, CASE WHEN t THEN flag ELSE '' END AS flag, CASE WHEN s THEN '1' ELSE '' END AS more FROM s")
 
 
+def _merge_stores(spark, d) -> tuple[Tables, Tables]:
+    """Two stores of events that share some ids and edges."""
+    r, i = event_records(spark, d), F.col("id")
+    tables = []
+    for kept, step, weight in ((i % 3 != 0, 1.0, 0.5), (i % 2 == 0, 2.0, 0.75)):
+        own = r.where(kept)
+        edges = own.select(i.alias("src"), F.explode(F.array(i * 7 % 10_000, i * (3 if weight == 0.5 else 5) % 20_000)).alias("dst"), F.lit("next").alias("rel_type"), F.lit(weight).cast("float").alias("weight")).distinct()
+        tables.append(Tables(own, own.select(F.lit("text").alias("modality"), "id", F.array(F.lit(step).cast("float")).alias("vec")), edges))
+    return tables[0], tables[1]
+
+
+MS = f"""{ER}, t AS (SELECT id FROM r WHERE id % 3 <> 0), s AS (SELECT id FROM r WHERE id % 2 = 0), te AS (SELECT id AS src, id * 7 % 10000 AS dst FROM t UNION SELECT id, id * 3 % 20000 FROM t),
+     se AS (SELECT id AS src, id * 7 % 10000 AS dst FROM s UNION SELECT id, id * 5 % 20000 FROM s)"""
+
+
+@query(f"WITH {MS} SELECT id, CASE WHEN id IN (SELECT id FROM t) THEN 1.0 ELSE 2.0 END AS x, CASE WHEN id IN (SELECT id FROM s) THEN 2.0 ELSE 1.0 END AS source_x FROM (SELECT id FROM t UNION SELECT id FROM s)")
+def merge_vectors(spark, d):
+    """Under the policies merge and keep_source."""
+    target, source = _merge_stores(spark, d)
+    both = [lifecycle.merge(target, source, p).vectors.select("id", F.col("vec")[0].cast("double").alias(c)) for p, c in (("merge", "x"), ("keep_source", "source_x"))]
+    return both[0].join(both[1], "id", "full_outer")
+
+
+@query(f"WITH {MS}, added AS (SELECT src, dst FROM se WHERE src NOT IN (SELECT id FROM t) OR dst IN (SELECT id FROM t UNION SELECT id FROM s)) SELECT src, dst, 0.5 AS weight FROM te UNION ALL SELECT src, dst, 0.75 FROM (SELECT * FROM added EXCEPT SELECT * FROM te)")
+def merge_edges(spark, d):
+    target, source = _merge_stores(spark, d)
+    return rounded(lifecycle.merge(target, source, "merge").edges.drop("rel_type"), "weight")
+
+
+@query("SELECT CAST(l_orderkey AS BIGINT) AS src, CAST(l_suppkey AS BIGINT) AS dst, round(arg_min(l_quantity, (l_linenumber * 1000000 + l_partkey) * 100 + l_quantity), 6) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_suppkey % 10 <> 0 GROUP BY 1, 2 UNION ALL SELECT o_orderkey, s_suppkey, 1.0 FROM orders JOIN supplier ON s_suppkey = o_orderkey % 10 * 10")
+def link_first(spark, d):
+    """Of links alike the first line of an order stays, and those that are there stay."""
+    items, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
+    suppliers = table(spark, d, "supplier").select(F.col("s_suppkey").alias("dst"))
+    there = orders.select(F.col("o_orderkey").alias("src"), (F.col("o_orderkey") % 10 * 10).alias("dst"), F.lit("from").alias("rel_type"), F.lit(1.0).cast("float").alias("weight")).join(suppliers, "dst", "left_semi").select("src", "dst", "rel_type", "weight")
+    new = items.where("l_suppkey % 10 <> 0").select(F.col("l_orderkey").alias("src"), F.col("l_suppkey").alias("dst"), F.lit("from").alias("rel_type"), F.col("l_quantity").cast("float").alias("weight"), ((F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")) * 100 + F.col("l_quantity")).alias("line"))
+    return rounded(graph.link(there, new, orders.select(F.col("o_orderkey").alias("id")), "line").select("src", "dst", "weight"), "weight")
+
+
+@query(f"WITH {ER}, e AS (SELECT id AS src, id + 1 AS dst, 1.0 AS weight FROM l WHERE id % 5 NOT IN (2, 3) UNION ALL SELECT id, id + 9, 0.25 FROM l WHERE id % 5 = 2 UNION ALL SELECT id, id + 4, 0.5 FROM l WHERE id % 5 IN (1, 2)) SELECT * FROM e")
+def replay_edges(spark, d):
+    """Records with an edge to the next; UPDATE gives every fifth another edge
+    and another fifth none; links come before and after it."""
+    r, i = live(event_records(spark, d)), F.col("id")
+    record = F.struct(*[c for c in r.columns if c != "id"])
+    kind = "array<struct<dst:bigint,rel_type:string,weight:float>>"
+
+    def ops(rows, seq: int, op: str, edges=None, dst=None, weight: float = 0.5):
+        full = op in ("ADD", "UPDATE")
+        return rows.select(
+            (i * 10 + seq).alias("seq"), F.lit(op).alias("op"), "id", (record if full else F.lit(None).cast(r.select(record.alias("x")).schema["x"].dataType)).alias("record"), F.lit(None).cast("array<struct<modality:string,vec:array<float>>>").alias("vectors"), F.lit(None).cast("float").alias("importance"),
+            (dst if dst is not None else F.lit(None)).cast("bigint").alias("dst"), F.lit("next").alias("rel_type"), F.lit(weight).cast("float").alias("weight"), (edges if edges is not None else F.lit(None)).cast(kind).alias("edges"),
+        )
+
+    def one(dst, weight: float):
+        return F.array(F.struct(dst.alias("dst"), F.lit("next").alias("rel_type"), F.lit(weight).cast("float").alias("weight")))
+
+    log = ops(r, 0, "ADD").unionByName(ops(r.where("id % 5 = 2"), 3, "UPDATE", one(i + 9, 0.25))).unionByName(ops(r.where("id % 5 = 3"), 3, "UPDATE", F.array().cast(kind)))
+    log = log.unionByName(ops(r.where("id % 5 = 3"), 2, "LINK", dst=i + 4)).unionByName(ops(r.where("id % 5 in (1, 2)"), 5, "LINK", dst=i + 4)).unionByName(ops(r.where("id % 5 = 1"), 6, "LINK", dst=i + 4, weight=0.9))
+    start = Tables(r, vectors(spark, d).limit(0), r.select(i.alias("src"), (i + 1).alias("dst"), F.lit("next").alias("rel_type"), F.lit(1.0).cast("float").alias("weight")))
+    return rounded(logs.replay(start, log).edges.select("src", "dst", "weight"), "weight")
+
+
 @query(f"WITH {ER}, asked AS (SELECT id FROM r WHERE id < 50 OR entity_id = '9' UNION SELECT 99999999) SELECT count_if(id IN (SELECT id FROM l)) AS deleted, count_if(id NOT IN (SELECT id FROM l)) AS not_found FROM asked")
 def batch_delete(spark, d):
     t = _event_tables(spark, d)
@@ -527,10 +599,10 @@ def dead_share(spark, d):
     return rounded(lifecycle.dead_share(_event_tables(spark, d)), "share")
 
 
-@query(f"WITH {ER} SELECT id, CASE WHEN id = 17 THEN 'vip' ELSE '' END AS level, CASE WHEN id = 17 THEN 2.5 ELSE CAST(importance AS DOUBLE) END AS importance FROM r WHERE id < 40")
+@query(f"WITH {ER} SELECT id, CASE WHEN id = 17 THEN 'vip' ELSE '' END AS level, CASE WHEN id = 17 THEN 2.5 ELSE CAST(importance AS DOUBLE) END AS importance FROM r")
 def attributes_and_importance(spark, d):
     r = lifecycle.update_importance(lifecycle.set_attribute(event_records(spark, d), 17, "level", "vip"), 17, 2.5)
-    return rounded(r.where("id < 40"), "importance").select("id", lifecycle.get_attribute("level").alias("level"), "importance")
+    return rounded(r, "importance").select("id", lifecycle.get_attribute("level").alias("level"), "importance")
 
 
 @query(f"WITH {ER} SELECT namespace_id, count_if(id % 5 <> 1) AS n, round(sum(CASE WHEN id % 5 = 1 THEN 0 WHEN id % 5 = 2 THEN 3.0 ELSE CAST(importance AS DOUBLE) END), 6) AS importance FROM l GROUP BY 1")
@@ -575,10 +647,19 @@ def timeline(spark, d):
     return analytics.timeline(event_records(spark, d), F.col("entity_id") == "3")
 
 
-@query(f"WITH {ER}, p AS (SELECT 'k' AS key, k AS value FROM l WHERE k IS NOT NULL UNION ALL SELECT 'flag', flag FROM l) SELECT key, count(*) AS records, CAST(least(count(DISTINCT value), 64) AS BIGINT) AS different, CASE WHEN bool_and(lower(value) IN ('true', 'false')) THEN 'bool' WHEN bool_and(TRY_CAST(value AS BIGINT) IS NOT NULL) THEN 'int' WHEN bool_and(TRY_CAST(value AS DOUBLE) IS NOT NULL) THEN 'float' ELSE 'string' END AS kind FROM p GROUP BY key")
+KIND = "CASE WHEN TRY_CAST(value AS BIGINT) IS NOT NULL THEN 'int' WHEN TRY_CAST(value AS DOUBLE) IS NOT NULL THEN 'float' WHEN value IN ('true', 'false', 'True', 'False') THEN 'bool' ELSE 'str' END"
+
+
+@query(f"WITH {ER}, p AS (SELECT 'k' AS key, k AS value FROM l WHERE k IS NOT NULL UNION ALL SELECT 'flag', flag FROM l UNION ALL SELECT 'either', CASE WHEN id % 2 = 0 THEN '1.5' ELSE flag END FROM l) SELECT key, count(*) AS records, CAST(least(count(DISTINCT value), 64) AS BIGINT) AS different, CASE WHEN min({KIND}) = max({KIND}) THEN min({KIND}) ELSE 'mixed' END AS kind, array_to_string(list_sort(list(DISTINCT value))[1:8], ',') AS samples FROM p GROUP BY key")
 def schema_keys(spark, d):
-    found = analytics.discover_schema(event_records(spark, d).withColumn("attributes", F.map_filter("attributes", lambda _, v: v.isNotNull())))
-    return found.select("key", "records", F.col("different").cast("long").alias("different"), "kind")
+    either = F.create_map(F.lit("either"), F.when(F.col("id") % 2 == 0, "1.5").otherwise(F.element_at("attributes", "flag")))
+    found = analytics.discover_schema(event_records(spark, d).withColumn("attributes", F.map_filter(F.map_concat("attributes", either), lambda _, v: v.isNotNull())))
+    return found.select("key", "records", F.col("different").cast("long").alias("different"), "kind", F.array_join("samples", ",").alias("samples"))
+
+
+@query(f"WITH {ER} SELECT * FROM (SELECT 'namespace_id' AS what, namespace_id AS name, count(*) AS n FROM l GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 20) UNION ALL SELECT * FROM (SELECT 'source', source, count(*) FROM l WHERE source <> '' GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 10) UNION ALL SELECT * FROM (SELECT 'entity_id', entity_id, CAST(NULL AS BIGINT) FROM l ORDER BY id LIMIT 20)")
+def schema_names(spark, d):
+    return analytics.discover_names(event_records(spark, d))
 
 
 def _ops(spark, d):

@@ -9,6 +9,10 @@ from pyspark.sql import SparkSession
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Checkpoints go to the folder in spark.checkpoint.dir, which a cluster's
-    executors share; where that is unset (one machine, tests) to a temporary one."""
+    executors share; where that is unset on one machine (tests) to a temporary
+    one. A cluster without that setting is refused."""
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="recallgrid-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="recallgrid-"))

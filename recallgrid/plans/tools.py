@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recallgrid.functions.scoring import Decay
-from recallgrid.operators import analytics, consolidate, episodes, graph, hybrid, keyword, lifecycle, search
+from recallgrid.operators import analytics, consolidate, episodes, graph, hybrid, ingest, keyword, lifecycle, search
 from recallgrid.operators.lifecycle import Tables
 from recallgrid.plans.filters import FilterSpec
 from recallgrid.plans.schema import as_records
@@ -41,8 +41,10 @@ class Toolbox:
                 spec = spec.attribute(key, args[key])
         return spec if spec != FilterSpec() else None
 
-    def _text(self, found: DataFrame, characters: int) -> DataFrame:
-        return found.join(self.tables.records.select("id", F.substring("content", 1, characters).alias("content")), "id", "left")
+    def _text(self, found: DataFrame, characters: int | None = None) -> DataFrame:
+        """found with the contents, whole or their first characters."""
+        content = F.col("content") if characters is None else F.substring("content", 1, characters)
+        return found.join(self.tables.records.select("id", content.alias("content")), "id", "left")
 
     def _search(self, a: dict) -> DataFrame:
         found = search.search_records(self.tables.records, self.tables.vectors, self._vector(a["query"]), self.now, a.get("k", 5), self._where(a), Decay() if a.get("decay") else None)
@@ -64,6 +66,12 @@ class Toolbox:
         self.tables = store.ingest_texts(self.tables, row, self.embed, self.now, a.get("namespace", ""))
         return row.select("id")
 
+    def _ingest(self, a: dict) -> DataFrame:
+        """Classifies a text by keywords, adds it, and links what it contradicts."""
+        row = self.tables.records.sparkSession.createDataFrame([(a["text"],)], "content string")
+        self.tables, ids = ingest.ingest_texts(self.tables, row, self.embed, self.now, {k: a[k] for k in ingest.HINTS if k in a})
+        return ids
+
     def _link(self, a: dict) -> DataFrame:
         new = self.tables.records.sparkSession.createDataFrame([(a["src"], a["dst"], a.get("rel_type", "related_to"), float(a.get("weight", 1.0)))], self.tables.edges.schema)
         self.tables = self.tables._replace(edges=graph.link(self.tables.edges, new, self.tables.records))
@@ -92,6 +100,7 @@ class Toolbox:
             "get_node": lambda a: store.get(t.records, a["id"]),
             "get_related": lambda a: graph.related(t.edges, t.records, a["id"], a.get("direction", "both"), a.get("rel_type")).orderBy("other", "rel_type", "way").limit(a.get("limit", 100)),
             "add_intel": self._add,
+            "ingest": self._ingest,
             "link_nodes": self._link,
             "timeline": lambda a: analytics.timeline(t.records, (self._where(a) or FilterSpec()).column(), a.get("limit", 20)),
             "forget": self._forget,
@@ -131,7 +140,7 @@ class VectorStore:
 
     def similarity_search(self, query: str, k: int = 4, where: FilterSpec | None = None) -> DataFrame:
         t = self.box.tables
-        return self.box._text(search.search_records(t.records, t.vectors, self.box._vector(query), self.box.now, k, where), 100_000)
+        return self.box._text(search.search_records(t.records, t.vectors, self.box._vector(query), self.box.now, k, where))
 
     def delete(self, key: str, value: str) -> None:
         """Forgets the records whose attribute has this value."""
@@ -152,7 +161,7 @@ class ChatMemory(VectorStore):
     def load(self, query: str, k: int = 5) -> DataFrame:
         t = self.box.tables
         found = search.search_records(t.records, t.vectors, self.box._vector(query), self.box.now, k, decay=Decay(7.0, 0.4))
-        return self.box._text(found, 100_000).orderBy(F.desc("score"), "id")
+        return self.box._text(found).orderBy(F.desc("score"), "id")
 
     def save(self, turns: DataFrame, namespace: str) -> None:
         """turns: (id, role, content)."""

@@ -9,10 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recallgrid.operators.graph import link
 from recallgrid.operators.lifecycle import Tables, forget, last_wins, upsert
 from recallgrid.plans.schema import FEEDBACK, RECORDS, VECTORS, as_records
 
-OPS = f"seq bigint, op string, id bigint, record struct<{RECORDS.replace('id bigint, ', '', 1)}>, vectors array<struct<modality:string,vec:array<float>>>, importance float, dst bigint, rel_type string, weight float"
+OPS = f"seq bigint, op string, id bigint, record struct<{RECORDS.replace('id bigint, ', '', 1)}>, vectors array<struct<modality:string,vec:array<float>>>, importance float, dst bigint, rel_type string, weight float, edges array<struct<dst:bigint,rel_type:string,weight:float>>"
 KINDS = ("fact_corrected", "fact_endorsed", "fact_retracted", "retrieval_thumbs_up", "retrieval_thumbs_down", "entity_merged", "contradiction_resolved")
 
 
@@ -28,7 +29,11 @@ def read_ops(spark: SparkSession, path: str) -> DataFrame:
 def replay(tables: Tables, ops: DataFrame) -> Tables:
     """The tables after all operations in the order of seq. Each record's
     last full write, the importance set after it, and whether it was forgotten
-    later are found by aggregation, not one operation at a time."""
+    later are found by aggregation, not one operation at a time. A full write
+    with edges, and every UPDATE, puts its edges in the place of the record's;
+    later links add to them. Logs without the column edges have none."""
+    if "edges" not in ops.columns:
+        ops = ops.withColumn("edges", F.lit(None).cast("array<struct<dst:bigint,rel_type:string,weight:float>>"))
     full = ops.where(F.col("op").isin("ADD", "UPDATE"))
     last = last_wins(full, ["id"], F.col("seq"))
     written = as_records(last.select("id", "record.*"))
@@ -40,10 +45,14 @@ def replay(tables: Tables, ops: DataFrame) -> Tables:
     gone = ops.where(F.col("op") == "FORGET").join(since, "id", "left").where(F.col("seq") > F.coalesce("since", F.lit(-1))).select("id").distinct()
     adds = last_wins(ops.where(F.col("op") == "ADD").select("seq", "id", F.explode("vectors").alias("v")).select("seq", F.col("v.modality").alias("modality"), "id", F.col("v.vec").alias("vec")), ["modality", "id"], F.col("seq"))
     vectors = upsert(tables.vectors, adds.select("modality", "id", "vec"), ["modality", "id"])
-    links = ops.where(F.col("op") == "LINK").select(F.col("id").alias("src"), "dst", "rel_type", "weight", "seq")
-    fresh = links.join(base.select(F.col("id").alias("src")), "src", "left_semi").groupBy("src", "dst", "rel_type").agg(F.min_by("weight", "seq").alias("weight"))
-    edges = tables.edges.unionByName(fresh.join(tables.edges, ["src", "dst", "rel_type"], "left_anti").select(*tables.edges.columns))
-    return Tables(forget(base, gone), vectors, edges)
+    # the last write of a record's edges, which earlier edges and links don't survive
+    reset = last_wins(full.where((F.col("op") == "UPDATE") | (F.size("edges") > 0)), ["id"], F.col("seq")).select(F.col("id").alias("src"), F.col("seq").alias("reset"), "edges")
+    kept = tables.edges.join(reset.select("src"), "src", "left_anti").select(*tables.edges.columns)
+    own = reset.select("src", F.explode("edges").alias("e")).select("src", "e.dst", "e.rel_type", "e.weight")
+    standing = kept.unionByName(own.groupBy("src", "dst", "rel_type").agg(F.first("weight").alias("weight")).select(*tables.edges.columns))
+    links = ops.where(F.col("op") == "LINK").select(F.col("id").alias("src"), "dst", "rel_type", "weight", "seq").join(reset.select("src", "reset"), "src", "left")
+    links = links.where(F.col("seq") > F.coalesce("reset", F.lit(-1))).drop("reset")
+    return Tables(forget(base, gone), vectors, link(standing, links, base, "seq"))
 
 
 def append_feedback(events: DataFrame, path: str) -> None:

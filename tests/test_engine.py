@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from recallgrid.functions import text
 from recallgrid.functions import vectors as V
 from recallgrid.functions.scoring import Decay, decayed, stickiness
-from recallgrid.operators import consolidate, episodes, extraction, graph, hierarchy, keyword, lifecycle, search
+from recallgrid.operators import analytics, consolidate, episodes, extraction, graph, hierarchy, keyword, lifecycle, search
 from recallgrid.operators.lifecycle import Tables
 from recallgrid.plans.filters import FilterSpec
 from recallgrid.plans.planner import Plan, Step, execute, plan
@@ -18,6 +18,9 @@ from recallgrid.sources import logs, store
 from recallgrid.streaming import triggers
 
 
+NOW = 1_706_745_600
+
+
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
 
@@ -180,7 +183,8 @@ def test_merge_stores(spark, tables):
     both = lifecycle.merge(tables, other, "merge")
     row = both.records.where("id = 1").first()
     assert (row.content, row.importance, row.attributes) == ("red fox", 2.0, {"k": "w", "n": "1"})
-    assert sorted((r.src, r.dst) for r in both.edges.collect()) == [(1, 2), (2, 3), (7, 1)]
+    # a store's own edges stay, and a new record brings all of its own
+    assert sorted((r.src, r.dst) for r in both.edges.collect()) == [(1, 2), (2, 3), (2, 99), (7, 1), (7, 55)]
     assert lifecycle.merge(tables, other, "keep_target").vectors.where("id = 1").first()["vec"] == [1.0, 0.0]
     with pytest.raises(ValueError):
         lifecycle.merge_records(tables.records, other.records, "other")
@@ -315,3 +319,108 @@ def test_dead_flag(spark, tables):
     assert [r.id for r in tables.records.where(dead()).collect()] == [3]
     marked = lifecycle.mark_deleted(tables.records, spark.createDataFrame([(1,)], "id long"))
     assert sorted(r.id for r in marked.where(dead()).collect()) == [1, 3]
+
+
+def test_savers_from_one_version_do_not_overwrite_each_other(spark, tmp_path):
+    a, b = (store.Store(spark, str(tmp_path / "s")) for _ in range(2))
+    first = store.seed(spark, 3, 2, "n")
+    a.open(), b.open()
+    a.save(first)
+    with pytest.raises(store.ConcurrentSave):
+        b.save(first)
+    assert b.open().records.count() == 3
+    b.save(first)
+    assert a.open().records.count() == 3 and a.version() == b.version()
+
+
+def test_saved_indexes_find_what_scans_find(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "s"))
+    t = store.seed(spark, 400, 8, "n")
+    s.save(t)
+    s.save_indexes(cells=4, buckets=8)
+    alive = s.open()
+    want = keyword.bm25(alive.records, "record 17 seed", 5).collect()
+    assert [(r.id, round(r.score, 9)) for r in s.keyword_search("record 17 seed", 5).collect()] == [(r.id, round(r.score, 9)) for r in want] and want[0].id == 17
+    query = [0.1] * 8
+    assert s.vector_search(query, 5, nprobe=4).collect() == search.search(alive.vectors, query, 5).collect()
+
+
+def test_merge_keeps_targets_vectors_and_edges(spark):
+    def tables(rows, vectors, edges):
+        return Tables(as_records(spark.createDataFrame(rows, "id long, content string")), spark.createDataFrame(vectors, VECTORS), spark.createDataFrame(edges, EDGES))
+
+    target = tables([(1, "a"), (2, "b")], [("text", 1, [1.0]), ("text", 2, [2.0])], [(1, 99, "r", 0.5), (1, 2, "r", 0.5)])
+    source = tables([(1, "x"), (3, "y"), (4, "no vector")], [("text", 1, [9.0]), ("text", 3, [3.0])], [(1, 2, "r", 0.9), (1, 3, "r", 0.9), (1, 98, "r", 0.9), (3, 97, "r", 0.9), (4, 1, "r", 0.9)])
+
+    def seen(policy):
+        out = lifecycle.merge(target, source, policy)
+        return {(r.id, r.vec[0]) for r in out.vectors.collect()}, {(r.src, r.dst, r.weight) for r in out.edges.collect()}, {r.id for r in out.records.collect()}
+
+    near = pytest.approx
+    for policy in ("merge", "keep_target"):
+        vectors, edges, ids = seen(policy)
+        assert vectors == {(1, 1.0), (2, 2.0), (3, 3.0)} and ids == {1, 2, 3}
+        assert {(a, b) for a, b, _ in edges} == {(1, 99), (1, 2), (1, 3), (3, 97)} and all(w == near(0.5) for a, b, w in edges if (a, b) == (1, 2))
+    vectors, edges, _ = seen("keep_source")
+    assert vectors == {(1, 9.0), (2, 2.0), (3, 3.0)} and {(a, b) for a, b, _ in edges} == {(1, 2), (1, 3), (1, 98), (3, 97)}
+
+
+def test_consolidate_with_a_summariser(spark):
+    records = as_records(spark.createDataFrame([(1, "one"), (2, "two"), (3, "far"), (4, "far too")], "id long, content string"))
+    vectors = spark.createDataFrame([("text", 1, [1.0, 0.0]), ("text", 2, [1.0, 0.01]), ("text", 3, [0.0, 1.0]), ("text", 4, [0.0, 1.0])], VECTORS)
+
+    def summarise(texts):
+        if "far" in texts:
+            raise ValueError("no answer")
+        return f"{len(texts)} texts"
+
+    out = consolidate.consolidate(records, vectors, spark.createDataFrame([], EDGES), NOW, summarise=summarise)
+    made = {r.content for r in out.records.where("source = 'consolidation'").collect()}
+    assert made == {"2 texts", "far | far too"}
+
+
+def test_large_alike_groups_keep_all_pairs(spark):
+    """Two tight groups of 100 at a cosine of 0.9: all pairs, one component."""
+    rng = np.random.default_rng(3)
+    axes = np.eye(32)
+    centre = [axes[0], 0.9 * axes[0] + np.sqrt(1 - 0.81) * axes[1]]
+    m = np.concatenate([c + 0.001 * rng.normal(size=(100, 32)) for c in centre])
+    frame = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(m)], "id long, vec array<float>")
+    assert consolidate.similar_pairs(frame, 0.85, block=37).count() == 19_900
+    roots = {r.root for r in consolidate.connected(consolidate.similar_links(frame, 0.85, block=37)).collect()}
+    assert roots == {0}
+
+
+def test_ingest_classifies_links_and_finds_contradictions(spark):
+    from recallgrid.operators import ingest
+
+    def embed(text):
+        return F.array(F.length(text).cast("float"), F.lit(1.0).cast("float"))
+
+    start = Tables(as_records(spark.createDataFrame([(1, "we always buy red", "mail"), (2, "x" * 90, "mail")], "id long, content string, source string")), spark.createDataFrame([("text", 1, [17.0, 1.0]), ("text", 2, [90.0, 1.0])], VECTORS), spark.createDataFrame([], EDGES))
+    texts = spark.createDataFrame([("we never buy red!",), ("  ",), ("y" * 500,)], "content string")
+    out, ids = ingest.ingest_texts(start, texts, embed, NOW, {"namespace": "n"})
+    new = {r.content[:8]: r for r in out.records.where("namespace_id = 'n'").collect()}
+    assert ids.count() == 2 and new["we never"].attributes["entity_type"] == "preference" and new["yyyyyyyy"].attributes["entity_type"] == "fact"
+    assert {(r.src, r.dst, r.rel_type) for r in out.edges.collect()} == {(new["we never"].id, 1, "related_to"), (new["we never"].id, 1, "contradicts")}
+
+
+def test_ingest_stream_saves_each_batch(spark, tmp_path):
+    from recallgrid.operators import ingest
+
+    s = store.Store(spark, str(tmp_path / "s"))
+    s.save(store.seed(spark, 2, 2, "old"))
+    spark.createDataFrame([("a plan for red", NOW), ("a bug", NOW + 1)], "content string, ts long").write.json(str(tmp_path / "in"))
+    stream = spark.readStream.schema("content string, ts long").json(str(tmp_path / "in"))
+    ingest.ingest_stream(stream, s, lambda t: F.array(F.length(t).cast("float"), F.lit(0.0).cast("float")), str(tmp_path / "c")).awaitTermination(120)
+    kinds = {r.attributes.get("entity_type") for r in s.open().records.where("source = 'ingest'").collect()}
+    assert kinds == {"strategy_brief", "issue"} and s.open().records.count() == 4
+
+
+def test_plane_keeps_distances_of_flat_vectors(spark):
+    rng = np.random.default_rng(4)
+    flat, turn = rng.normal(size=(40, 2)), np.linalg.qr(rng.normal(size=(6, 6)))[0][:2]
+    frame = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(flat @ turn + 3)], "id long, vec array<double>")
+    got = np.array([r.x for r in analytics.plane(frame).orderBy("id").collect()])
+    assert np.allclose(np.linalg.norm(got[:, None] - got[None], axis=2), np.linalg.norm(flat[:, None] - flat[None], axis=2), atol=1e-4)
+    assert np.allclose(got.mean(axis=0), 0, atol=1e-6)
