@@ -8,7 +8,8 @@ updated by those that a 304 may change.
 
 The as-of join works on slices of time: the last response of each URL and
 slice is carried to the next slices, and within a slice rows are ordered by
-time. A URL that holds much of the corpus is thus dealt out over its slices.
+time. A URL that holds much of the corpus is thus dealt out over its slices,
+and a slice that holds much of it is cut finer.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from recallgrid.llm._spark import Scratch
+from recallgrid.llm._spark import HOT_KEYS, Scratch
 
 #: Query parameters that name a visit, not a page.
 TRACKING = r"^(?:utm_[a-z]+|ref|gclid|fbclid|sessionid)="
@@ -26,6 +27,9 @@ TRACKING = r"^(?:utm_[a-z]+|ref|gclid|fbclid|sessionid)="
 KEPT_FIELDS = ("connection", "content-encoding", "content-length", "content-md5", "content-range", "content-type", "etag", "keep-alive", "proxy-authenticate", "te", "trailer", "transfer-encoding", "upgrade")
 
 SLICE_SECONDS = 86_400
+#: A slice of a URL with more rows than this, and over 1 / HOT_KEYS of all, is cut in parts of about as many.
+SLICE_ROWS = 50_000
+MOST_PARTS = 1 << 20
 
 
 def canonical_url(url: Column) -> Column:
@@ -59,7 +63,19 @@ def merged_headers(stored: Column, update: Column) -> Column:
     return F.map_from_entries(F.array_sort(F.concat(F.map_entries(own), F.map_entries(allowed))))
 
 
-def resolve_revisits(records: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+def _finer(row: DataFrame, total: int, slice_seconds: int, slice_rows: int) -> DataFrame:
+    """row with its slice cut in parts where many rows share it. Slices of a
+    URL stay in the order of time."""
+    sizes = row.where("canonical is not null and slice is not null").groupBy("canonical", "slice").agg(F.count("*").alias("n"))
+    hot = sizes.where(F.col("n") > max(slice_rows, total / HOT_KEYS))
+    parts = hot.select("canonical", "slice", F.least(F.ceil(F.col("n") / slice_rows), F.lit(MOST_PARTS)).cast("long").alias("parts"))
+    # fewer than HOT_KEYS rows
+    joined = row.join(F.broadcast(parts), ["canonical", "slice"], "left")
+    inside = F.floor((F.col("captured") - F.col("slice") * slice_seconds) * F.coalesce("parts", F.lit(1)) / slice_seconds)
+    return joined.withColumn("slice", F.col("slice") * MOST_PARTS + inside).select(*row.columns)
+
+
+def resolve_revisits(records: DataFrame, slice_seconds: int = SLICE_SECONDS, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """One row for each revisit in records (record_id, url, captured: seconds,
     kind: "response" or "revisit", headers: map with lower-case names,
     digest): record_id, canonical, captured, response_id, response_captured,
@@ -77,7 +93,7 @@ def resolve_revisits(records: DataFrame, slice_seconds: int = SLICE_SECONDS) ->
     row = records.where(F.col("kind").isin("response", "revisit")).select(
         F.col("record_id").cast("long").alias("record_id"), canonical_url(F.col("url")).alias("canonical"), F.col("captured").cast("long").alias("captured"), (F.col("kind") == "revisit").alias("asks"), "headers", "digest"
     )
-    row = row.withColumn("slice", F.floor(F.col("captured") / slice_seconds).cast("long"))
+    row = _finer(row.withColumn("slice", F.floor(F.col("captured") / slice_seconds).cast("long")), records.count(), slice_seconds, slice_rows)
     placed = F.col("canonical").isNotNull() & F.col("captured").isNotNull()
     full = F.struct("captured", "record_id")
     slices = row.where(placed).groupBy("canonical", "slice").agg(F.max(F.when(~F.col("asks"), full)).alias("last"), F.max("asks").alias("asked"))

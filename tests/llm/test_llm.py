@@ -717,6 +717,17 @@ def test_revisits(spark):
     assert warc.resolve_revisits(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_a_hot_url_is_cut_finer(spark):
+    """One URL, many captures in a day, some in the same second; by brute force."""
+    rng = random.Random(23)
+    rows = [(k, "http://a/x", rng.randrange(200_000), rng.choice(["response", "revisit"]), {"etag": "e"}, f"d{k}") for k in range(900)]
+    frame = spark.createDataFrame(rows, "record_id long, url string, captured long, kind string, headers map<string,string>, digest string")
+    found = warc.resolve_revisits(frame, slice_rows=10).collect()
+    responses = [(t, i) for i, _, t, kind, _, _ in rows if kind == "response"]
+    want = {i: max(((u, j) for u, j in responses if u <= t), default=(None, None))[1] for i, _, t, kind, _, _ in rows if kind == "revisit"}
+    assert {r.record_id: r.response_id for r in found} == want
+
+
 # -- 9 ---------------------------------------------------------------------
 
 
