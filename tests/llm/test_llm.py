@@ -593,55 +593,70 @@ def plain_logistic(x, y, ridge):
 
 
 def plain_co_training(labelled, y, pool, asked, rounds):
-    """Blum and Mitchell's scheme, spelled out: the scores of asked."""
+    """The scheme spelled out, document by document: the scores of asked."""
 
     def sigmoid(z):
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     order = np.random.default_rng(3).permutation(len(y))
     held, train = order[: len(y) // 4], order[len(y) // 4 :]
+    edges = [[sorted(set(np.quantile(f[train][:, c], [i / quality.BINS for i in range(1, quality.BINS)]).tolist())) for c in range(f.shape[1])] for f in labelled]
 
     def cut(k, features):
-        columns = []
-        for c in range(features.shape[1]):
-            for edge in sorted(set(np.quantile(labelled[k][train][:, c], [i / quality.BINS for i in range(1, quality.BINS)]).tolist())):
-                columns.append([float(v > edge) for v in features[:, c]])
-        return np.array([*columns, [1.0] * len(features)]).T
+        return np.array([*([float(v > e) for v in features[:, c]] for c, es in enumerate(edges[k]) for e in es), [1.0] * len(features)]).T
 
     cuts = [{name: cut(k, part[k]) for name, part in (("labelled", labelled), ("pool", pool), ("asked", asked))} for k in (0, 1)]
-    taught = [{}, {}]
+    kinds = [bytes(sum(v > e for e in es) for k in (0, 1) for v, es in zip(pool[k][i], edges[k], strict=True)) for i in range(len(pool[0]))]
+    taught = [[], []]
     for turn in range(rounds + 1):
         betas = []
         for k in (0, 1):
-            rows = [cuts[k]["labelled"][i] for i in train] + [cuts[k]["pool"][i] for i in taught[k]]
-            betas.append(plain_logistic(np.array(rows), [y[i] for i in train] + list(taught[k].values()), 1.0))
+            rows = [cuts[k]["labelled"][i] for i in train] + [cuts[k]["pool"][i] for i, _ in taught[k]]
+            betas.append(plain_logistic(np.array(rows), [y[i] for i in train] + [label for _, label in taught[k]], 1.0))
         raw = [cuts[k]["labelled"][held] @ betas[k] for k in (0, 1)]
         scales = [plain_logistic(np.stack([r, np.ones(len(r))], axis=1), y[held], 0.01) for r in raw]
         if turn == rounds:
             break
-        news = []
+        taught = [[], []]
         for k in (0, 1):
-            p = sigmoid(scales[k][0] * (cuts[k]["pool"] @ betas[k]) + scales[k][1])
-            for label, sure, share in ((1.0, p, y.mean()), (0.0, 1 - p, 1 - y.mean())):
-                ranked = sorted(range(len(p)), key=lambda i: (-sure[i], i))[: int(quality.SHARE_PER_ROUND * share * len(p))]
-                news.append((1 - k, label, [i for i in ranked if sure[i] >= quality.SURE]))
-        for k, label, rows in news:
-            for i in rows:
-                taught[k].setdefault(i, label)
+            plain = cuts[k]["pool"] @ betas[k]
+            odds = scales[k][0] * plain + scales[k][1]
+            # sure by calibrated odds, ranked by those before calibration
+            sures = {label: [(i, sign * plain[i] * np.sign(scales[k][0])) for i, s in enumerate(sign * odds) if sigmoid(s) >= quality.SURE] for label, sign in ((1.0, 1), (0.0, -1))}
+            shares = {1.0: y.mean(), 0.0: 1 - y.mean()}
+            total = min(quality.SHARE_PER_ROUND * (turn + 1) * len(odds), *(len(sures[label]) / shares[label] for label in shares))
+            for label, sure in sures.items():
+                most = int(total * shares[label])
+                steps = defaultdict(list)
+                for i, s in sure:
+                    steps[math.floor(max(-30, min(s, 30)) * quality.STEPS)].append(i)
+                for step in sorted(steps, reverse=True):
+                    rows, room = steps[step], most - sum(pseudo == label for _, pseudo in taught[1 - k])
+                    if len(rows) <= room:
+                        taught[1 - k] += [(i, label) for i in rows]
+                        continue
+                    # the last step: by lot, and none of this table's kinds there is frequent
+                    lot = quality.lots(np.frombuffer(b"".join(kinds[i] for i in rows), np.uint8).reshape(len(rows), -1))
+                    assert all(kinds.count(kinds[i]) * room <= len(rows) for i in rows) or room == 0
+                    by_kind = {kinds[i]: (i, u) for i, u in zip(rows, lot, strict=True)}
+                    taught[1 - k] += [(i, label) for kind, (i, u) in by_kind.items() if u < kinds.count(kind) * room / len(rows)]
+                    break
     odds = [scales[k][0] * raw[k] + scales[k][1] for k in (0, 1)]
     blend = plain_logistic(np.stack([*odds, np.ones(len(held))], axis=1), y[held], 0.1)
     last = [scales[k][0] * (cuts[k]["asked"] @ betas[k]) + scales[k][1] for k in (0, 1)]
     return sigmoid(last[0]), sigmoid(last[1]), sigmoid(blend[0] * last[0] + blend[1] * last[1] + blend[2]), [len(t) for t in taught]
 
 
-def test_quality_equals_plain_co_training(spark):
-    """On a table small enough for the samples to be all of it."""
+@pytest.mark.parametrize("stray, other", [(0.2, "book"), (0.02, "wiki")])
+def test_quality_equals_plain_co_training(spark, stray, other):
+    """On a table small enough for the samples to be all of it; the metadata
+    view is sure of both labels only where few sources are stray."""
     rng = random.Random(22)
     rows, labels = [], []
     for k in range(260):
         good = rng.random() < 0.6
         text = " ".join(rng.choice(["the", "river", "stone", "walks", "slowly"] if good else ["!!!", "BUY", "now", "$$$", "the"]) for _ in range(rng.randrange(5, 60)))
-        rows.append((k, text + ("." if good else "!"), "web" if rng.random() < (0.2 if good else 0.8) else "book"))
+        rows.append((k, text + ("." if good else "!"), "web" if rng.random() < (stray if good else 1 - stray) else other))
         if k < 160:
             labels.append((k, int(good), 0))
     df = docs(spark, rows)
@@ -660,12 +675,55 @@ def test_quality_equals_plain_co_training(spark):
     labelled, y = in_order(rows[:160], [q for _, q, _ in labels])
     pool, _ = in_order(rows, [0] * len(rows))
     content, metadata, both, taught = plain_co_training(labelled, y, pool, views(rows), quality.ROUNDS)
-    assert min(taught) > 0
+    assert taught[1] > 0 and (taught[0] > 0) == (stray < 0.1)
     for (d, _, _), *want in zip(rows, content, metadata, both, strict=True):
         # sums of many rows differ in their last digits, which Newton's steps carry on
         assert [got[d].text_score, got[d].metadata_score, got[d].score] == pytest.approx(want, abs=1e-4)
 
 
+def test_text_features_stand_alone():
+    texts = [b"one two three two three", b"", b"a", b"b c b c\n\nb c", b"one"]
+    assert (quality.text_features(texts) == np.concatenate([quality.text_features([x]) for x in texts])).all()
+
+
+def test_last_step_takes_whole_steps_and_a_share():
+    assert quality.last_step({9: 5, 7: 10, 3: 100}, 15) == (3, 0.0, 15)
+    assert quality.last_step({9: 5, 7: 10, 3: 100}, 10) == (7, 0.5, 10)
+    assert quality.last_step({9: 5}, 10) == (0, 1.0, 5)
+    assert quality.last_step({}, 10) == (0, 1.0, 0)
+
+
+def test_quality_learns_from_bounded_samples_of_everything(spark):
+    """Copies in hundreds and a bound below what the views are sure of: the
+    rows taught stay near the bound and stand for all documents."""
+    rng = random.Random(5)
+    rows = []
+    for k in range(3000):
+        good = k % 10 > 3
+        words = ["the", "river", "stone", "walks", "slowly"] if good else ["!!!", "BUY", "now", "$$$"]
+        text = " ".join(rng.choice(words) for _ in range(rng.randrange(5, 60))) if k > 400 else "the river walks. " * 5
+        rows.append((k, text + ("." if good or k <= 400 else "!"), "book" if good or k <= 400 else "web"))
+    labels = spark.createDataFrame([(k, int(k % 10 > 3), 0) for k in range(500, 900)], "doc_id long, quality int, toxic int")
+    seen, teach = [], quality.Pool.teach
+
+    def watched(self, views, part, shares):
+        seen.append((self.size, self.rows.count(), part, shares, teach(self, views, part, shares)))
+        return seen[-1][-1]
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(quality.Pool, "teach", watched)
+        model = quality.fit(docs(spark, rows), labels, taught_most=60)
+    assert len(seen) == quality.ROUNDS
+    for size, kinds, _, _, taught in seen:
+        assert size == 3000 and kinds < 3000 - 300
+        for codes, label, weight in taught:
+            assert len(codes) == len(label) == len(weight) <= 90
+            assert not len(codes) or (30 <= weight.sum() <= 90 and (weight >= 1).all())
+    assert max(len(codes) for *_, taught in seen for codes, *_ in taught) > 30
+    kept = {r.doc_id for r in quality.score(docs(spark, rows), model).collect() if r.keep}
+    assert sum((k in kept) == (k % 10 > 3 or k <= 400) for k in range(3000)) >= 2970
+
+
 def test_quality_takes_odd_tables(spark, odd):
     labels = spark.createDataFrame([(1, 1, 0), (3, 0, 0), (3, 1, 0), (None, 1, 0), (5, None, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
     model = quality.fit(odd, labels)
@@ -858,7 +916,7 @@ def test_product_is_associative():
     def matrix():
         return {(i, 0): {(j, 0): rng.randrange(9) * 1.0 for j in range(3) if rng.random() < 0.7} for i in range(3)}
 
-    for _ in range(50):
+    for _ in range(12):
         a, b, c = matrix(), matrix(), matrix()
         p = sentencepiece_codec.product
         assert p(p(a, b), c) == p(a, p(b, c))
