@@ -6,6 +6,9 @@ import numpy as np
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
+from pyspark.ml.feature import PCA
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -232,3 +235,25 @@ def stratified(rows: DataFrame, by: str, order: list[Column], most: int) -> Data
     """most rows, in turn one of each kind."""
     nth = F.row_number().over(Window.partitionBy(by).orderBy(*order))
     return rows.withColumn("nth", nth).orderBy("nth", by).limit(most).drop("nth")
+
+
+def pca_2d(vectors: DataFrame, dim: int) -> DataFrame:
+    """(id, x, y): vectors (id, vec) seen along their two main directions, from
+    their mean. Of a direction's two senses the one in which its largest
+    component (the first of them, if several) is positive. Vectors that are
+    null, of another dimension or hold null or non-finite components count for
+    nothing and get null; so do all where fewer than two count or dim is
+    below 2. What reaches the driver is dim x 2 numbers and the mean."""
+    sound = F.coalesce(F.size("vec") == dim, F.lit(False)) & F.forall("vec", lambda v: F.coalesce(F.abs(v) < float("inf"), F.lit(False)))
+    dense = vectors.where(sound).select(array_to_vector(F.transform("vec", lambda v: v.cast("double"))).alias("v"))
+    if dim < 2 or dense.limit(2).count() < 2:
+        return vectors.select("id", *(F.lit(None).cast("double").alias(c) for c in ("x", "y")))
+    mean = dense.agg(Summarizer.mean(F.col("v"))).first()[0]
+    axes = PCA(k=2, inputCol="v", outputCol="p").fit(dense).pc.toArray().T
+    centred = F.zip_with("vec", F.lit(mean.toArray().tolist()), lambda v, m: v - m)
+    out = []
+    for name, axis in zip(("x", "y"), axes, strict=True):
+        axis = axis * (1 if axis[abs(axis).argmax()] > 0 else -1)
+        along = F.aggregate(F.zip_with(centred, F.lit(axis.tolist()), lambda v, a: v * a), F.lit(0.0), lambda s, x: s + x)
+        out.append(F.when(sound, along).alias(name))
+    return vectors.select("id", *out)

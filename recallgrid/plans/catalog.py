@@ -832,6 +832,11 @@ def hash_embeddings(spark, d):
     return e.select("conv_id", "turn", F.round(F.element_at("v", 1).cast("double"), 3).alias("first"), F.round(F.element_at("v", -1).cast("double"), 3).alias("last"))
 
 
+@query()
+def pca_2d(spark, d):
+    return rounded(analytics.pca_2d(vectors(spark, d).select("id", "vec"), 64), "x", "y")
+
+
 @query(f"WITH {ER} SELECT CASE WHEN id % 2 = 0 THEN 'new' ELSE source END AS source, count(*) AS n FROM (SELECT id, source FROM r UNION ALL SELECT id + 20000000, 'new' FROM r WHERE id % 100 = 0) GROUP BY 1")
 def upsert_batch(spark, d):
     t = _event_tables(spark, d)

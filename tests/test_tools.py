@@ -2,10 +2,12 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from recallgrid.functions import embedders
+from recallgrid.operators import analytics
 from recallgrid.plans.tools import ChatMemory, Toolbox, VectorStore, empty_tables
 
 
@@ -59,3 +61,17 @@ def test_embedders(spark):
     signed = df.select(embedders.six_fold(8)(F.col("t")).alias("v")).first()["v"]
     assert sum(x * x for x in signed) == pytest.approx(1.0, abs=1e-6)
     assert spark.range(1).select(embedders.averaged(F.array(F.array(F.lit(1.0), F.lit(3.0)), F.array(F.lit(3.0))), 2).alias("v")).first()["v"] == [2.0, 1.5]
+
+
+def test_pca_equals_eigenvectors(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 6)) * [5, 1, 3, 0.2, 0.1, 0.5] @ np.linalg.qr(rng.normal(size=(6, 6)))[0]
+    odd = [(1000, None), (1001, [1.0]), (1002, [float("nan")] * 6), (1003, [1.0, None, 1.0, 1.0, 1.0, 1.0])]
+    df = spark.createDataFrame([*((k, v.tolist()) for k, v in enumerate(x)), *odd], "id long, vec array<double>")
+    got = {r["id"]: (r["x"], r["y"]) for r in analytics.pca_2d(df, 6).collect()}
+    axes = np.linalg.eigh(np.cov(x.T))[1][:, :-3:-1]
+    axes = axes * np.sign(axes[np.abs(axes).argmax(axis=0), [0, 1]])
+    assert np.allclose([got[k] for k in range(300)], (x - x.mean(axis=0)) @ axes)
+    assert all(got[k] == (None, None) for k, _ in odd)
+    assert analytics.pca_2d(df.where("id = 3"), 6).first()["x"] is None
+    assert analytics.pca_2d(df.limit(0), 6).count() == 0
