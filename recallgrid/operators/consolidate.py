@@ -15,7 +15,7 @@ from recallgrid.functions import vectors as V
 from recallgrid.functions.text import hashed_id
 from recallgrid.operators.analytics import centroid
 from recallgrid.plans.schema import FACT, as_records, live
-from recallgrid.plans.session import ensure_checkpoint_dir
+from recallgrid.plans.session import Rounds, ensure_checkpoint_dir
 
 INTO = "consolidated_into"
 EPSILON = 1e-9
@@ -124,19 +124,29 @@ def similar_links(vectors: DataFrame, least: float = 0.85, block: int | None = N
 
 
 def connected(pairs: DataFrame, most_rounds: int = 30) -> DataFrame:
-    """(id, root): the smallest id of each component of pairs (a, b). Every
-    round is checkpointed in the session's spark.checkpoint.dir."""
-    ensure_checkpoint_dir(pairs.sparkSession)
-    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("root")).checkpoint()
+    """(id, root): the smallest id of each component of pairs (a, b).
+
+    Large-star and small-star rounds, whose number grows with the logarithm of
+    the ids however the pairs chain. Every round is written to the session's
+    spark.checkpoint.dir."""
+    rounds = Rounds(pairs.sparkSession, "connected")
+    links = rounds.keep(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = links.where("a <> b")
     for _ in range(most_rounds):
-        offered = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("offer"))
-        # the root's own root, too, so that chains halve
-        jump = labels.select(F.col("id").alias("root"), F.col("root").alias("up"))
-        moved = labels.join(offered, "id", "left").join(jump, "root", "left").select("id", F.col("root").alias("old"), F.least("root", "offer", "up").alias("root")).checkpoint()
-        labels = moved.select("id", "root")
-        if not moved.where("old <> root").limit(1).count():
+        many = now.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+        if not many and not now.select(F.col("b").alias("a")).join(now.select("a"), "a", "left_semi").limit(1).count():
+            labels = links.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(now.withColumnRenamed("a", "id"), "id", "left").select("id", F.coalesce("b", "id").alias("root"))
+            labels = rounds.keep(labels)
+            rounds.drop_all_but_last()
             return labels
+        # larger neighbours go to the smallest of a node and its neighbours
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = rounds.keep(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")))
+        large = rounds.keep(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        # a node and its smaller neighbours go to the smallest of these
+        least = rounds.keep(large.groupBy("a").agg(F.min("b").alias("m")))
+        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        now = rounds.keep(small.unionByName(least.withColumnRenamed("m", "b")).distinct())
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 

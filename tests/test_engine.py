@@ -391,6 +391,16 @@ def test_large_alike_groups_keep_all_pairs(spark):
     assert roots == {0}
 
 
+@pytest.mark.parametrize("n", [24, 300])
+def test_components_of_a_chain_in_any_order(spark, n):
+    """However many rounds it takes, what the driver holds of them doesn't grow."""
+    ids = np.random.default_rng(1).permutation(n).tolist()
+    pairs = spark.createDataFrame([*zip(ids[:-1], ids[1:], strict=True), (n, n), (n + 2, n + 1)], "a long, b long")
+    labels = consolidate.connected(pairs)
+    assert labels._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 10**9
+    assert {r.id: r.root for r in labels.collect()} == {**dict.fromkeys(range(n), 0), n: n, n + 1: n + 1, n + 2: n + 1}
+
+
 def test_ingest_classifies_links_and_finds_contradictions(spark):
     from recallgrid.operators import ingest
 
